@@ -43,10 +43,11 @@ from loam.llm.shingles import mix, shingle_sets
 ORDERED = 200_000
 #: Shingles a task holds before it counts them, and the count within them from which one has a weight.
 STRETCH, LOCAL = 2_000_000, 3
+_SALT = np.uint64(0x632BE59BD9B4E019)
 #: Slots of the bitmap that spares the second reading of texts what no pair needs.
 SLOTS = 1 << 23
-#: A leader round is worth another while it leaves at most this part of the open pairs.
-WORTH = 0.9
+#: A leader round is worth another if it joined components by this part of the first one's comparisons.
+WORTH = 0.02
 #: Leaders that one set of postings is dealt to in a round.
 LEADERS = 16
 
@@ -96,24 +97,24 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, prefixes, at = [], [], [], [], [0]
+            sizes, one, two, h1, h2, prefixes, at = [], [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 one.append(s.sum(dtype=np.uint64))
-                two.append(mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64))
-                if len(s):
-                    prefixes.append(prefix(s))
-                at.append(at[-1] + (len(prefixes[-1]) if len(s) else 0))
+                two.append(mix(s + _SALT).sum(dtype=np.uint64))
+                prefixes.append(prefix(s) if len(s) else s)
+                h1.append(prefixes[-1].sum(dtype=np.uint64))
+                h2.append(mix(prefixes[-1] + _SALT).sum(dtype=np.uint64))
+                at.append(at[-1] + len(prefixes[-1]))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.array(sizes, np.int64)),
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
+                    *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two, h1, h2)],
                     pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(flat.view(np.int64))),
                 ],
-                names=["doc_id", "n", "f1", "f2", "prefix"],
+                names=["doc_id", "n", "f1", "f2", "h1", "h2", "prefix"],
             )
 
     return sketch
@@ -123,27 +124,36 @@ def _slot(c):
     return F.pmod(F.xxhash64(c), F.lit(SLOTS))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
+def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """Bits of the ids' slots: at most SLOTS / 64 rows come to the driver, whatever the number of ids."""
-    words = ids.select(_slot("doc_id").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    words = ids.select(_slot(column).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(SLOTS // 64, np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
+def _among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df's rows whose ``column`` is among ids: most others go where they lie, before a shuffle."""
+    bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids, column)), df.columns
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (bits.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            if keep.any():
+                yield batch.select(columns).filter(pa.array(keep))
+
+    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, df.schema)
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set) of the documents among ids: texts are filtered where they lie, never shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            keep = (bits.value[slot >> 6] >> (slot & 63)) & 1 == 1
-            if keep.any():
-                batch = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
 
-    sets = docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(build, "doc_id long, set binary")
+    sets = _among(docs.where("doc_id is not null"), ids, "doc_id").mapInArrow(build, "doc_id long, set binary")
     return sets.join(ids, "doc_id", "left_semi")
 
 
@@ -173,46 +183,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     heavy = tallies.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
     order = heavy["token"].to_numpy().view(np.uint64)
     by = np.argsort(order)
-    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order[by], heavy["n"].to_numpy()[by]), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
+    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order[by], heavy["n"].to_numpy()[by]), "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>"))
 
     known = sketches.where("n > 0 and doc_id is not null")
-    nodes = ws.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
-    groups = nodes.groupBy("n", F.xxhash64("prefix").alias("h"), F.hash("prefix").alias("h2")).agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
-    groups = ws.table(groups)
-    # member rows only of groups of several: most groups hold one node, which is the group's id
-    members = ws.table(
-        nodes.select("node", "n", F.xxhash64("prefix").alias("h"), F.hash("prefix").alias("h2")).join(groups.select("n", "h", "h2", "g"), ["n", "h", "h2"]).select("g", "node")
-    )
-    spread = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    nodes = ws.table(known.groupBy("n", "f1", "f2", "h1", "h2").agg(F.min("doc_id").alias("node")))
+    groups = ws.table(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")))
+    members = ws.table(nodes.select("node", "n", "h1", "h2").join(groups.select("n", "h1", "h2", "g"), ["n", "h1", "h2"]).select("g", "node", "n"))
+    spread = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     postings = ws.table(spread.join(shared.hint("shuffle_hash"), "token"))
-    prefixes = groups.select("g", "n", "prefix").join(postings.select("g").distinct(), "g", "left_semi")
-    prefixes = ws.table(prefixes)
     size = postings.count() + members.where("g <> node").count()
 
     labels: DataFrame | None = None  # (node, c) of nodes with a link
     tested: DataFrame | None = None
     links: DataFrame | None = None
+    spared = 0  # nodes that aren't their component's least
 
     need = F.expr(f"cast(ceil({percent} * (n + n2) / {100 + percent}.0D - 1e-9) as long)")
     fits = (F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")) & (F.col("pos") < F.col("n") - need + 1) & (F.col("pos2") < F.col("n2") - need + 1)
 
     def now() -> tuple[DataFrame, DataFrame]:
-        """(g, lo, hi): the least and greatest component of a group's members; and members with theirs."""
+        """(g, n, lo, hi): the least and greatest component of a group's members; and members with theirs."""
         own = members if labels is None else members.join(labels, "node", "left")
-        own = own.select("g", "node", (F.col("node") if labels is None else F.coalesce("c", "node")).alias("c"))
-        return own.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), own
+        own = own.select("g", "n", "node", (F.col("node") if labels is None else F.coalesce("c", "node")).alias("c"))
+        return own.groupBy("g").agg(F.first("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")), own
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (g, h) of groups whose shared prefix shingles leave the threshold within reach."""
-        p = prefixes
-        both = pairs.join(p, "g").join(p.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
+        pairs = ws.table(pairs)
+        some = ws.table(_among(groups.select("g", "n", "prefix"), pairs.select("g").union(pairs.select("h")), "g"))
+        both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
         reach = F.size(F.array_intersect("prefix", "prefix2")) + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
         return both.where(reach >= need).select("g", "h")
 
-    def verify(pairs: DataFrame) -> None:
-        """Compare the untested node pairs (x, y), and merge what links."""
-        nonlocal tested, links, labels
+    def verify(pairs: DataFrame) -> tuple[int, int]:
+        """Compare the untested node pairs (x, y), and merge what links: comparisons, and components fewer."""
+        nonlocal tested, links, labels, spared
         fresh = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
             fresh = fresh.join(tested, ["x", "y"], "left_anti")
@@ -226,12 +232,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         tested = fresh if tested is None else ws.table(tested.union(fresh))
         links = found if links is None else ws.table(links.union(found))
         labels = connected_components(ws, links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
+        was, spared = spared, labels.where("node <> c").count()
+        return fresh.count(), spared - was
 
-    turn, before = 0, None
+    turn, gained, enough, at_table = 0, True, None, None
     while True:
         span, own = now()
         span = ws.table(span)
-        at = postings.join(span, "g")
+        at = postings.select("token", "g", "pos").join(span, "g")
         # pairs of different components that a full enumeration would form
         share = at.groupBy("token", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")).agg(F.count(F.lit(1)).alias("m"))
         share = share.groupBy("token").agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("m"))).alias("most"), F.sum("m").alias("m"), F.sum(F.when(F.col("c").isNotNull(), F.col("m") * F.col("m")).otherwise(F.col("m"))).alias("same"))
@@ -241,14 +249,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         still = (live.agg(F.sum(F.expr("(m * m - same) div 2"))).first()[0] or 0) + (groups_open.agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0] or 0)
         if not still:
             break
-        at = at.join(live.select("token"), "token")
-        gained, before = before is None or still < WORTH * before, still
+        # components only grow, so a posting without open pairs never has any again
+        last, at = at_table, ws.table(at.join(live.select("token", "most"), "token"))
+        if last is not None:
+            ws.drop(last)
+        at_table, postings = at, at.select("token", "g", "pos")
         if still > size and gained:
-            # One leader for each posting, so pairs are as many as rows: at first any group, so that the
-            # same few lead everywhere; later one of the posting's largest component, another each time.
-            among = at.join(live.select("token", "most"), "token")
-            few = F.pmod(F.col("token"), F.lit(LEADERS)) if not turn else F.col("token")
-            lot = F.struct((F.lit(bool(turn)) & ((F.col("lo") != F.col("most")) | (F.col("hi") != F.col("most")))).alias("far"), F.xxhash64(F.lit(turn), few, F.col("g")).alias("r"))
+            # One leader for each posting, so pairs are as many as rows. At first any group, so that the
+            # same few lead everywhere; later one of the posting's largest component, in turn that of
+            # which the greatest part of the comparisons linked (the text that the others vary) and
+            # any other.
+            few = F.col("token") if turn else F.pmod(F.col("token"), F.lit(LEADERS))
+            lot = [F.xxhash64(F.lit(turn), few, F.col("g")).alias("r")]
+            among = at
+            if turn:
+                lot = [((F.col("lo") != F.col("most")) | (F.col("hi") != F.col("most"))).alias("far"), *lot]
+            if turn % 2:
+                ends = lambda df, one: df.select(F.explode(F.array("x", "y")).alias("g"), F.lit(one).alias("one"))
+                part = ends(tested, 0).unionByName(ends(links, 1)).groupBy("g").agg((F.sum("one") / (F.sum(1 - F.col("one")) + 2)).alias("part"))
+                among = at.join(part, "g", "left")
+                lot = [lot[0], (-F.coalesce("part", F.lit(0.0))).alias("part"), lot[1]]
+            lot = F.struct(*lot)
             lead = among.groupBy("token").agg(F.min(F.struct(lot.alias("o"), "g", "n", "pos", "lo", "hi")).alias("l"))
             lead = lead.select("token", F.col("l.g").alias("h"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
             pairs = at.join(lead, "token").where((F.col("g") != F.col("h")) & fits & F.expr("not (lo = hi and lo2 = hi2 and lo = lo2)"))
@@ -256,7 +277,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             heads = members.groupBy("g").agg(F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("head"))
             across = pairs.join(own, "g").join(heads.select(F.col("g").alias("h"), F.col("head").alias("y")), "h").select(F.col("node").alias("x"), "y")
             within = own.join(inner, "g", "left_semi").join(heads, "g").select(F.col("node").alias("x"), F.col("head").alias("y"))
-            verify(across.union(within))
+            asked, joined = verify(across.union(within))
+            enough = WORTH * asked if enough is None else enough
+            gained = joined >= enough
             turn += 1
             continue
         other = at.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
