@@ -7,6 +7,13 @@ from importlib import import_module
 #: query: module of this package that defines it
 MODULES = {
     "op1_jaccard_join": "jaccard_join",
+    "op2_html_extract": "html_extract",
+    "op3_url_filter": "url_filter",
+    "op4_token_files": "token_files",
+    "op5_embedding_dedup": "embedding_dedup",
+    "op7_language_id": "language_id",
+    "op9_packing": "packing",
+    "op10_mixing": "mixing",
 }
 
 
