@@ -132,8 +132,11 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """df's rows whose ``column`` is among ids: most others go where they lie, before a shuffle."""
+def _among(df: DataFrame, ids: DataFrame, column: str, build=None, schema=None) -> DataFrame:
+    """df's rows whose ``column`` is among ids, as ``build`` turns their batches: others go where they lie.
+
+    One Python worker a task does both; the few others that share a slot of the bitmap go in the semi join.
+    """
     bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids, column)), df.columns
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,20 +144,19 @@ def _among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             slot = batch.column(batch.num_columns - 1).to_numpy()
             keep = (bits.value[slot >> 6] >> (slot & 63)) & 1 == 1
             if keep.any():
-                yield batch.select(columns).filter(pa.array(keep))
+                batch = batch.select(columns).filter(pa.array(keep))
+                yield build(batch) if build else batch
 
-    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, df.schema)
+    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, schema or df.schema).join(ids.select(column), column, "left_semi")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set) of the documents among ids: texts are filtered where they lie, never shuffled."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
+    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
 
-    sets = _among(docs.where("doc_id is not null"), ids, "doc_id").mapInArrow(build, "doc_id long, set binary")
-    return sets.join(ids, "doc_id", "left_semi")
+    return _among(docs.where("doc_id is not null"), ids, "doc_id", build, "doc_id long, set binary")
 
 
 def _linked(percent: int):
@@ -211,7 +213,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (g, h) of groups whose shared prefix shingles leave the threshold within reach."""
         pairs = ws.table(pairs)
-        some = ws.table(_among(groups.select("g", "n", "prefix"), pairs.select("g").union(pairs.select("h")), "g"))
+        some = ws.table(_among(groups.select("g", "n", "prefix"), pairs.select("g").union(pairs.select("h")).distinct(), "g"))
         both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
         reach = F.size(F.array_intersect("prefix", "prefix2")) + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
         return both.where(reach >= need).select("g", "h")
