@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from loam.plans.registry import QUERIES, SQL
+
+for _name in ("corpus", "retrieval", "generation", "programs", "tables"):
+    import_module(f"loam.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
