@@ -11,7 +11,9 @@ MODULES = {
     "op3_url_filter": "url_filter",
     "op4_token_files": "token_files",
     "op5_embedding_dedup": "embedding_dedup",
+    "op6_ann": "ann",
     "op7_language_id": "language_id",
+    "op8_quality": "quality",
     "op9_packing": "packing",
     "op10_mixing": "mixing",
 }

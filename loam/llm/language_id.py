@@ -188,3 +188,18 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     model = train(docs.where(fold(F.col("doc_id")) != 2).select("lang", "text"))
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
     return predict(rows, model, "doc_id", "held_out")
+
+
+def identified(docs: DataFrame, model: Model, wanted: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, in a wanted language (default: any learned) with the least score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = frozenset(model.langs if wanted is None else wanted)
+
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(sent.value)
+        for texts in batches:
+            got = [scorer.predict(t) for t in texts.to_pylist()]
+            yield pa.array([lang in wanted and score >= least for lang, score in got], pa.bool_())
+
+    passes.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col("text").cast("string")))
