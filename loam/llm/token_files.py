@@ -20,6 +20,7 @@ special token is that token, as the library has it by default.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,15 @@ END = 2
 # ---------------------------------------------------------------- words
 
 
+_TABLE = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+_STEPS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    return _TABLE[values] if int(values.max()) < len(_TABLE) else np.searchsorted(_STEPS, values, side="right").astype(np.uint8)
+
+
 def pack_ids(ids: np.ndarray) -> bytes:
     """A segment of unsigned 64-bit values."""
     n = len(ids)
@@ -58,19 +68,20 @@ def pack_ids(ids: np.ndarray) -> bytes:
     grid[:n] = ids
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
+    widths = _widths(grid).reshape(blocks, BLOCK)
     grid = grid.reshape(blocks, BLOCK)
-    # The first selector, from the most ids down, whose width the next ids all have.
+    # The selector with the most ids whose width all the next ids have.
     choice = np.full((blocks, BLOCK), ESCAPE, np.int8)
-    least = int(grid.max()).bit_length()
-    at = np.arange(BLOCK, dtype=np.int32)
+    most = int(widths.max())
+    passed = np.zeros((blocks, BLOCK + 61), np.int32)
     for s in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[s]
-        if bits >= least:
+        if bits >= most:
             choice[:] = s  # all fit
             continue
-        wide = np.where(grid >> np.uint64(bits) > 0, at, np.int32(BLOCK + 60))
-        clear = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - at
-        choice[clear >= count] = s
+        np.cumsum(widths > bits, axis=1, out=passed[:, 1 : BLOCK + 1])
+        passed[:, BLOCK + 1 :] = passed[:, BLOCK : BLOCK + 1]  # beyond the block's end everything fits
+        choice[passed[:, count : BLOCK + count] == passed[:, :BLOCK]] = s
     step = _COUNTS[choice]
     step[choice == ESCAPE] = 1
     # All blocks are walked in step, a word of each at a time.
@@ -135,10 +146,19 @@ def unpack_ids(segment: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- tokenizing
 
 
+#: White space that no piece may hold: runs of spaces and newlines that make tokens of their own, and others.
+_RUNS = ("  ", "\n\n\n", "\n\n ", "\n \n", " \n\n", " \n ")
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_SPACE = re.compile(r"[^\S \n]")
+#: New pieces given to the library as one text.
+TOGETHER = 256
+
+
 class _Known(dict):
     """Piece -> number; a new piece gets the next number and is put in a list."""
 
-    def __init__(self):
+    def __init__(self, pieces=()):
+        super().__init__((p, i) for i, p in enumerate(pieces))
         self.fresh: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -150,75 +170,96 @@ class _Known(dict):
 class Encoder:
     """The library's ids of texts, with the ids of repeated pieces kept.
 
-    A byte-level pre-tokenizer starts a token at every space that follows a non-space, so a text's ids
-    are those of its pieces between spaces, each with the space before it. Pieces that were seen have
-    their ids from a table, the others go through the library. That holds unless a space lies within
-    other white space or a special token is spelt out; such texts go through the library whole.
+    A byte-level pre-tokenizer starts a token at a single space or newline between non-spaces, so a
+    text's ids are those of its pieces: a word with the space before it, or a newline with the word
+    after it. Pieces met before have their ids from a table; new ones go through the library, many in
+    one text with newlines between, which are single tokens and so show where each ends. That doesn't
+    hold for longer or other white space, or where a special token is spelt out: such texts go through
+    the library whole. In the table a piece is the word alone, or with the newline before it.
     """
 
-    #: Pieces and characters kept at most; then the table starts anew.
-    PIECES, CHARS = 300_000, 1 << 25
+    #: Pieces kept at most, of which the most used half stays when there are more.
+    PIECES = 400_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s \s", "  ", *special]))
-        self.forget()
-
-    def forget(self) -> None:
-        self.first, self.rest = _Known(), _Known()
-        self.tables = {id(t): [np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0] for t in (self.first, self.rest)}
-        self.pool, self.used, self.chars = np.zeros(1 << 18, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32), 0, 0
-
-    def _learn(self, table: _Known, lead: str) -> None:
-        fresh, table.fresh = table.fresh, []
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        newline, space = ([*self.library.encode(x, add_special_tokens=False).ids] for x in ("\n", " "))
+        self.plain = len(newline) == len(space) == 1
+        self.newline = newline[0] if newline else -1
+        self.known = _Known(["", "\n"])
+        self.starts, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0, 1], [1, 1], [1 << 40, 1 << 40]))
+        self.pool = np.array([*space[:1], *newline[:1]], self.dtype)
+
+    def _needs_library(self, text: str) -> bool:
+        if any(run in text for run in _RUNS) or text[-2:].isspace() and len(text) > 1:
+            return True
+        odd = any(c in text for c in _ODD) if text.isascii() else _ODD_SPACE.search(text)
+        return bool(odd) or any(x in text for x in self.special)
+
+    def _learn(self) -> None:
+        fresh, self.known.fresh = self.known.fresh, []
         if not fresh:
             return
-        found = [e.ids for e in self.library.encode_batch_fast([lead + x for x in fresh], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        need = self.used + int(lengths.sum())
-        if need > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), need), self.pool.dtype)])
-        self.pool[self.used : need] = np.fromiter((i for x in found for i in x), self.pool.dtype, need - self.used)
-        slot = self.tables[id(table)]
-        at = len(table) - len(fresh)
-        for k, new in ((0, self.used + np.cumsum(lengths) - lengths), (1, lengths)):
-            if len(table) > len(slot[k]):
-                slot[k] = np.concatenate([slot[k], np.zeros(max(len(slot[k]), len(table)), np.int64)])
-            slot[k][at : len(table)] = new
-        self.used = need
-        self.chars += sum(map(len, fresh))
+        bare = [x[1:] if x[0] == "\n" else " " + x for x in fresh]
+        texts = ["\n".join(bare[i : i + TOGETHER]) for i in range(0, len(bare), TOGETHER)]
+        parts = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array([i for part in parts for i in (*part, self.newline)][:-1], np.int64)
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+        if len(ends) != len(fresh):
+            raise AssertionError("a piece held a newline")
+        begins = np.append(0, ends[:-1] + 1)
+        after = np.array([x[0] == "\n" for x in fresh])
+        # the newline that separates stands before the piece after it, and counts to it where it belongs there
+        at = len(self.pool) + 1
+        self.pool = np.concatenate([self.pool, np.array([self.newline], self.dtype), ids.astype(self.dtype)])
+        self.starts = np.concatenate([self.starts, at + begins - after])
+        self.sizes = np.concatenate([self.sizes, ends - begins + after])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+
+    def _flat(self, which: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after another."""
+        start, size = self.starts[which], self.sizes[which]
+        stop = np.cumsum(size)
+        return self.pool[np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+    def _thin(self) -> None:
+        best = np.sort(np.argsort(-self.uses, kind="stable")[: self.PIECES // 2])
+        names = list(self.known)
+        pool, sizes = self._flat(best), self.sizes[best]
+        self.known = _Known([names[i] for i in best])
+        self.pool, self.sizes, self.starts, self.uses = pool, sizes, np.cumsum(sizes) - sizes, self.uses[best] >> 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list = [None] * len(texts)
-        split, pieces, heads = [], [], []
+        pieces, counts, whose, direct = [], [], [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = np.zeros(0, self.pool.dtype)
-            elif self.whole.search(text):
-                pieces.append(None)
-                out[i] = text
+                out[i] = np.zeros(0, self.dtype)
+            elif not self.plain or self._needs_library(text):
+                direct.append(i)
             else:
-                parts = text.split(" ")
-                split.append(i)
-                heads.append(self.first[parts[0]])
-                pieces.append(np.fromiter(map(self.rest.__getitem__, parts[1:]), np.int64, len(parts) - 1))
-        pieces = [p for p in pieces if p is not None]
-        direct = [i for i, x in enumerate(out) if isinstance(x, str)]
-        for i, e in zip(direct, self.library.encode_batch_fast([out[i] for i in direct], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.pool.dtype)
-        self._learn(self.first, "")
-        self._learn(self.rest, " ")
-        (a0, a1, _), (b0, b1, _) = self.tables[id(self.first)], self.tables[id(self.rest)]
-        for i, head, p in zip(split, heads, pieces, strict=True):
-            start, size = np.append(a0[head], b0[p]), np.append(a1[head], b1[p])
-            spot = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out[i] = self.pool[spot]
-        if len(self.rest) + len(self.first) > self.PIECES or self.chars > self.CHARS:
-            self.forget()
+                parts = ("\n" + text).replace("\n", " \n").split(" ")
+                pieces += parts[1:]
+                counts.append(len(parts) - 1)
+                whose.append(i)
+        for i in direct:
+            out[i] = np.array(self.library.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, self.dtype)
+        if whose:
+            which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self._learn()
+            self.uses += np.bincount(which, minlength=len(self.uses))
+            ids = self._flat(which)
+            ends = np.cumsum(self.sizes[which])[np.cumsum(counts) - 1]
+            for i, a, b in zip(whose, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = ids[a + 1 : b]  # without the newline put before the text
+            if len(self.known) > self.PIECES:
+                self._thin()
         return out
 
 
