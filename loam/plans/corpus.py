@@ -140,8 +140,8 @@ def _sql_instruction() -> str:
       {_RULES}[1 + {_sql_pick(_KEY, "c", 4)}] || '; ' || {_RULES}[1 + ({_sql_pick(_KEY, "c", 4)} + 1 + {_sql_pick(_KEY, "d", 3)}) % 4] AS constraints, NULL AS input, block AS output FROM b
     UNION ALL
     SELECT doc_id, kind, first_line, 'repair', 'Repair this ' || kind || ' code', NULL,
-      array_to_string(list_transform(l, lambda x, i: CASE WHEN i - 1 = at THEN reverse(x) ELSE x END), chr(10)), block
-    FROM (SELECT *, {_sql_pick(_KEY, "r", "len(l)")} AS at FROM (SELECT *, string_split(block, chr(10)) AS l FROM b WHERE n_lines > 1))""",
+      array_to_string(list_transform(l, lambda x, i: CASE WHEN i - 1 = spot THEN reverse(x) ELSE x END), chr(10)), block
+    FROM (SELECT *, {_sql_pick(_KEY, "r", "len(l)")} AS spot FROM (SELECT *, string_split(block, chr(10)) AS l FROM b WHERE n_lines > 1))""",
 )
 def block_examples(spark, sf_dir):
     return C.block_examples(C.code_blocks(read(spark, sf_dir, "documents")))
@@ -195,9 +195,9 @@ def language_route(spark, sf_dir):
     return rows.select("message", "personality", F.when(F.col("personality") == "basic", 0.4).when(F.col("personality") == "assembly", 0.2).alias("temperature"), "kind")
 
 
-@query("substring_search_multi", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel') OR contains(lower(p_type), 'steel')")
+@query("substring_search_multi", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'blue') OR contains(lower(p_brand), 'blue') OR contains(lower(p_type), 'blue')")
 def substring_search_multi(spark, sf_dir):
-    return C.search(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], "STEEL").select("p_partkey", "p_name")
+    return C.search(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], "BLUE").select("p_partkey", "p_name")
 
 
 @query("paginate", "WITH n AS (SELECT greatest(0, (count(*) + 19) // 20 - 1) AS last FROM documents) SELECT doc_id, CAST(row_no AS BIGINT) AS row_no FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents), n WHERE row_no > least(7, last) * 20 AND row_no <= least(7, last) * 20 + 20")
