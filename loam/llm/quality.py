@@ -115,31 +115,46 @@ def _measured(text: str | None) -> Measures | None:
     return Measures(text) if text and text.split() and text.encode("utf-8", "surrogatepass").split() else None
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
-    """(prior of clean, P(outcome | class) of each heuristic) by expectation-maximisation.
+#: Kinds of junk that heuristics know, by their place: markup and symbols, shouting, repetition.
+KINDS = ((0, 1, 2, 7, 8, 9), (3,), (4, 5, 6))
 
-    patterns: one row a distinct pattern of votes; counts: documents of each. An outcome is a vote or
-    abstaining, which tells something too: a heuristic that knows one kind of junk abstains on the
-    others. The start is the majority of the votes, which fixes which class is called clean; outcomes
-    are smoothed by one imagined document each.
+
+def _outcomes(patterns: np.ndarray) -> np.ndarray:
+    return np.stack([patterns == k for k in (JUNK, CLEAN, NONE)], axis=2).astype(float)
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, kinds=KINDS) -> tuple[np.ndarray, np.ndarray]:
+    """(prior of each class, P(outcome | class) of each heuristic) by expectation-maximisation.
+
+    patterns: one row a distinct pattern of votes; counts: documents of each. Class 0 is clean, the
+    others are kinds of junk, on which a heuristic has accuracies of its own: one that knows repetition
+    is blind to symbols. An outcome is a vote or abstaining, which tells something too. The start puts
+    patterns without junk votes into clean and others into the kind with most of them, which fixes what
+    the classes mean; outcomes are smoothed by one imagined document each.
     """
-    outcome = np.stack([patterns == k for k in (JUNK, CLEAN, NONE)], axis=2).astype(float)
-    for_, against = (patterns == CLEAN).sum(axis=1), (patterns == JUNK).sum(axis=1)
-    q = np.where(against == 0, 0.95, np.where(2 * against >= for_, 0.05, 0.5))
+    outcome = _outcomes(patterns)
+    against = np.stack([(patterns[:, list(k)] == JUNK).sum(axis=1) for k in kinds], axis=1)
+    q = np.full((len(patterns), 1 + len(kinds)), 0.02)
+    q[np.arange(len(patterns)), np.where(against.any(axis=1), 1 + against.argmax(axis=1), 0)] = 1.0
+    q /= q.sum(axis=1, keepdims=True)
     for _ in range(ROUNDS):
-        w = np.stack([counts * (1 - q), counts * q])
-        prior = (w[1].sum() + 1) / (counts.sum() + 2)
+        w = (counts[:, None] * q).T
+        prior = (w.sum(axis=1) + 1) / (counts.sum() + len(w))
         rates = np.tensordot(w, outcome, axes=(1, 0)) + 1.0
         rates /= rates.sum(axis=2, keepdims=True)
-        q = posterior(patterns, prior, rates)
+        q = _classes(patterns, prior, rates)
     return prior, rates
 
 
-def posterior(patterns: np.ndarray, prior: float, rates: np.ndarray) -> np.ndarray:
+def _classes(patterns: np.ndarray, prior: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    score = np.log(prior) + np.tensordot(_outcomes(patterns), np.log(rates), axes=([1, 2], [1, 2]))
+    q = np.exp(score - score.max(axis=1, keepdims=True))
+    return q / q.sum(axis=1, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, prior: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Probability of clean given each pattern."""
-    outcome = np.stack([patterns == k for k in (JUNK, CLEAN, NONE)], axis=2)
-    score = [np.log(p) + (outcome * np.log(rates[k])).sum(axis=(1, 2)) for k, p in ((0, 1 - prior), (1, prior))]
-    return 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
+    return _classes(patterns, prior, rates)[:, 0]
 
 
 def fit(rows: list[tuple[list[int], list[float]]], goal: np.ndarray) -> np.ndarray:
@@ -163,7 +178,7 @@ def fit(rows: list[tuple[list[int], list[float]]], goal: np.ndarray) -> np.ndarr
 class Quality:
     """A trained model."""
 
-    def __init__(self, prior: float, rates: np.ndarray, weights: np.ndarray | None):
+    def __init__(self, prior: np.ndarray, rates: np.ndarray, weights: np.ndarray | None):
         self.prior, self.rates, self.weights = prior, rates, weights
 
     def judge(self, text: str | None) -> tuple[float, float]:
@@ -196,7 +211,7 @@ def train(docs: DataFrame) -> Quality:
     as_rows = lambda p: np.array([[int(c) for c in x] for x in p], np.int64).reshape(-1, N_VOTES)
     patterns, counts = as_rows([r["pattern"] for r in seen]), np.array([r["n"] for r in seen], float)
     if not len(seen) or not (patterns != NONE).any():
-        return Quality(0.5, np.full((2, N_VOTES, 3), 1 / 3), None)
+        return Quality(np.full(2, 0.5), np.full((2, N_VOTES, 3), 1 / 3), None)
     prior, rates = estimate(patterns, counts)
     # The hash bound passes about twice the sample, the limit makes it exact, and only these texts are measured again.
     share = min(1.0, 2 * SAMPLE / counts.sum())
