@@ -10,8 +10,9 @@ inclusion probability p and a uniform u drawn from its doc_id, and documents are
 ``(u / (1 - u)) / (p / (1 - p))``. p is the rest's share of the source; a document that would hold
 more than 1 / ``EVEN`` of the rest has it reduced in proportion, so inclusion is unequal and one long
 document seldom decides a source's sample. Documents are taken in rank order while they fit into the
-rest; ``PASSES`` passes over those left fill what a long document left open. A sum never passes the
-target, and misses it by less than the smallest document that the last pass could not place.
+rest; ``PASSES`` passes over those left fill what a long document left open, and one document more is
+taken where that comes nearer to the target. So a sum is off by half a document at most, the one that
+comes nearest among those left.
 
 Rank and sums come from range-partitioned running totals, so a source with a third of all rows
 spreads over as many tasks as it needs. Null texts have size 0. Reruns agree: u depends on seed and
@@ -28,7 +29,7 @@ from loam.llm.words import size_in_words
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-PASSES, EVEN, SEED = 3, 16, "loam"
+PASSES, EVEN, SEED = 6, 16, "loam"
 
 
 def targets(ws: Workspace, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -64,24 +65,28 @@ def mix(ws: Workspace, sized: DataFrame, weights=WEIGHTS, share: float = SHARE,
     even = F.col("rest") / EVEN
     p = F.col("rest") / F.col("source_size") * F.when(F.col("size") > even, even / F.col("size")).otherwise(1.0)
     u = uniform()
-    rows = ws.table(rows.withColumn("rank", F.when((F.col("rest") >= 1) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p)))).withColumn("copies", F.col("whole")))
-    open_ = rows.where("rank is not null and size <= rest")
-    others = rows.where("rank is null or size > rest")
-    done = [others]
+    rows = ws.table(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("rank", F.when((F.col("rest") >= 1) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p)))).withColumn("copies", F.col("whole")))
+    fit, won = rows.where("rank is not null").select("_row", "doc_id", "source", "size", "rank", "rest"), None
+
+    def filled(some: DataFrame, by: DataFrame) -> DataFrame:
+        """some with ``rest`` less what the rows ``by`` fill of their source."""
+        sums = by.groupBy("source").agg(F.sum("size").alias("_sum")).withColumnRenamed("source", "_source")
+        met = some.join(sums, some["source"].eqNullSafe(sums["_source"]), "left")
+        return met.withColumn("rest", F.col("rest") - F.coalesce("_sum", F.lit(0))).select(*some.columns)
+
+    left = fit
     for _ in range(PASSES):
-        open_ = running_totals(ws, open_, ["source"], [F.col("rank"), F.col("doc_id"), F.col("size")], "size", ("_n", "_before"))
-        fits = F.col("_before") + F.col("size") <= F.col("rest")
-        open_ = ws.table(open_.withColumn("taken", fits))
-        done.append(open_.where("taken").withColumn("copies", F.col("copies") + 1).select(*rows.columns))
-        filled = open_.where("taken").groupBy("source").agg(F.sum("size").alias("_sum")).withColumnRenamed("source", "_source")
-        left = open_.where("not taken").select(*rows.columns)
-        left = left.join(filled, left["source"].eqNullSafe(filled["_source"]), "left").withColumn("rest", F.col("rest") - F.coalesce("_sum", F.lit(0))).select(*rows.columns)
-        left = ws.table(left)
-        done.append(left.where("size > rest"))
-        open_ = left.where("size <= rest")
-    out = open_
-    for part in done:
-        out = out.unionByName(part)
+        placed = running_totals(ws, left.where("size <= rest"), ["source"], [F.col("rank"), F.col("doc_id"), F.col("size")], "size", ("_n", "_before"))
+        placed = ws.table(placed.withColumn("taken", F.col("_before") + F.col("size") <= F.col("rest")))
+        took = placed.where("taken").select(*fit.columns)
+        won = took if won is None else won.unionByName(took)
+        left = ws.table(filled(placed.where("not taken").select(*fit.columns), took))
+    # One document more where that comes nearer: the one that leaves the least, over or under.
+    won = ws.table(won.select("_row", "source", "size"))
+    over = filled(fit.join(won.select("_row"), "_row", "left_anti"), won).withColumn("_off", F.abs(F.col("size") - F.col("rest"))).where("_off < rest")
+    nearest = over.groupBy("source").agg(F.min(F.struct("_off", "rank", "doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    more = won.select("_row").unionByName(nearest).withColumn("_more", F.lit(1))
+    out = rows.join(more, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0)))
     return out.select(*sized.columns, "source_size", "target", "copies")
 
 
@@ -126,16 +131,16 @@ r AS (
   SELECT *, rest / w * CASE WHEN size > rest / 16 THEN (rest / 16) / size ELSE 1.0 END AS p FROM q
 ), k AS (
   SELECT *, CASE WHEN rest >= 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p
-), a1 AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS taken FROM k WHERE rank IS NOT NULL AND size <= rest
-), l1 AS (
-  SELECT * REPLACE (rest - coalesce((SELECT sum(size) FROM a1 b WHERE b.taken AND b.source IS NOT DISTINCT FROM a.source), 0) AS rest) FROM a1 a WHERE NOT taken
-), a2 AS (
-  SELECT * REPLACE (sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS taken) FROM l1 WHERE size <= rest
-), l2 AS (
-  SELECT * REPLACE (rest - coalesce((SELECT sum(size) FROM a2 b WHERE b.taken AND b.source IS NOT DISTINCT FROM a.source), 0) AS rest) FROM a2 a WHERE NOT taken
-), a3 AS (
-  SELECT * REPLACE (sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS taken) FROM l2 WHERE size <= rest
-), won AS (SELECT doc_id FROM a1 WHERE taken UNION ALL SELECT doc_id FROM a2 WHERE taken UNION ALL SELECT doc_id FROM a3 WHERE taken)
-SELECT doc_id, source, size, w AS source_size, target, CAST((whole + (doc_id IN (SELECT doc_id FROM won))::INT) * size AS BIGINT) AS taken FROM q
+), l0 AS (SELECT * FROM k WHERE rank IS NOT NULL)
+"""
+for _i in range(1, PASSES + 1):
+    ORACLE_SQL += f"""
+, a{_i} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS taken FROM l{_i - 1} WHERE size <= rest)
+, l{_i} AS (SELECT * EXCLUDE (taken) REPLACE (rest - coalesce((SELECT sum(size) FROM a{_i} b WHERE b.taken AND b.source IS NOT DISTINCT FROM a.source), 0) AS rest) FROM a{_i} a WHERE NOT taken)
+"""
+ORACLE_SQL += ", won AS (" + " UNION ALL ".join(f"SELECT doc_id, source, size FROM a{_i} WHERE taken" for _i in range(1, PASSES + 1)) + r""")
+, o AS (SELECT doc_id, k.source, size, rank, rest - coalesce(f, 0) AS rest FROM k LEFT JOIN (SELECT source, sum(size) AS f FROM won GROUP BY source) x ON k.source IS NOT DISTINCT FROM x.source
+  WHERE rank IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM won))
+, more AS (SELECT doc_id FROM won UNION ALL SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - rest), rank, doc_id) AS n FROM o WHERE abs(size - rest) < rest) WHERE n = 1)
+SELECT doc_id, source, size, w AS source_size, target, CAST((whole + (doc_id IN (SELECT doc_id FROM more))::INT) * size AS BIGINT) AS taken FROM q
 """
