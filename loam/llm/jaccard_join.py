@@ -10,11 +10,12 @@ prefix form one *group*; the join runs on groups:
    on the overlap from the number of shared prefix shingles;
 3. surviving group pairs are expanded to their members, whose whole sets are compared exactly.
 
-Links are asked for as components, so pairs that are connected already need no comparison. *Leader
-rounds* compare every member of a posting with one leader of it, which is linear in the postings, and
-merge what links. They repeat with new leaders while the pairs still open would outnumber the
-postings; then every open pair is enumerated and compared. Nothing is capped: the rounds only decide
-the order in which pairs are looked at.
+All pairs of short postings are compared. In long ones the pairs would grow with the square of a
+cluster; as links are asked for as components, pairs that are connected already need no comparison.
+*Leader rounds* compare every member of a posting with one leader of it, which is linear in the
+postings, and merge what links. They repeat with new leaders while the pairs still open would
+outnumber the postings and rounds still join; then every open pair is enumerated and compared. Nothing
+is capped: the rounds only decide the order in which pairs are looked at.
 
 The order of shingles is (weight, hash). Weights are counts of shingles that are frequent within a
 stretch of one task's documents, summed over the corpus; all others weigh 0. Common passages so come
@@ -46,6 +47,8 @@ STRETCH, LOCAL = 2_000_000, 3
 _SALT = np.uint64(0x632BE59BD9B4E019)
 #: Slots of the bitmap that spares the second reading of texts what no pair needs.
 SLOTS = 1 << 23
+#: Groups of a posting that is short: no more pairs than SHORT / 2 for each of its rows.
+SHORT = 8
 #: A leader round is worth another if it joined components by this part of the first one's comparisons.
 WORTH = 0.02
 #: Leaders that one set of postings is dealt to in a round.
@@ -189,11 +192,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     known = sketches.where("n > 0 and doc_id is not null")
     nodes = ws.table(known.groupBy("n", "f1", "f2", "h1", "h2").agg(F.min("doc_id").alias("node")))
-    groups = ws.table(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")))
+    groups = ws.table(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"), ((F.min("f1") != F.max("f1")) | (F.min("f2") != F.max("f2"))).alias("several")))
     members = ws.table(nodes.select("node", "n", "h1", "h2").join(groups.select("n", "h1", "h2", "g"), ["n", "h1", "h2"]).select("g", "node", "n"))
-    spread = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    postings = ws.table(spread.join(shared.hint("shuffle_hash"), "token"))
+    spread = groups.select("g", "n", "several", F.posexplode("prefix").alias("pos", "token"))
+    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bool_or("several").alias("several")).where("m > 1")
+    shared = shared.select("token", ((F.col("m") > SHORT) | F.col("several")).alias("long"))
+    postings = ws.table(spread.drop("several").join(shared.hint("shuffle_hash"), "token"))
     size = postings.count() + members.where("g <> node").count()
 
     labels: DataFrame | None = None  # (node, c) of nodes with a link
@@ -237,6 +241,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         was, spared = spared, labels.where("node <> c").count()
         return fresh.count(), spared - was
 
+    # Short postings, whose groups have one member each: their pairs are few for each row, and all are compared.
+    short = postings.where("not long")
+    other = short.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    pairs = short.join(other, (short["token"] == other["token"]) & (F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
+    verify(bounded(pairs).select(F.col("g").alias("x"), F.col("h").alias("y")))
+    whole, postings = postings, ws.table(postings.where("long").select("token", "g", "pos"))
+    ws.drop(whole)
+
     turn, gained, enough, at_table = 0, True, None, None
     while True:
         span, own = now()
