@@ -37,7 +37,7 @@ from loam.llm.common import Workspace
 MAGIC = b"LOAM-S8B"
 BLOCK = 4096
 #: Ids after which a segment ends with its document.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 20
 #: Fixed values of the format: (ids in a word, bits of each) by selector, most ids first.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -79,6 +79,11 @@ def pack_ids(ids: np.ndarray) -> bytes:
         if bits >= most:
             choice[:] = s  # all fit
             continue
+        half = count // 2
+        if half > 1:  # so many ids in a row hold two neighbours among every half-th
+            narrow = widths[:, ::half] <= bits
+            if not (narrow[:, 1:] & narrow[:, :-1]).any() and not narrow[:, -1].any():
+                continue
         np.cumsum(widths > bits, axis=1, out=passed[:, 1 : BLOCK + 1])
         passed[:, BLOCK + 1 :] = passed[:, BLOCK : BLOCK + 1]  # beyond the block's end everything fits
         choice[passed[:, count : BLOCK + count] == passed[:, :BLOCK]] = s
@@ -150,6 +155,7 @@ def unpack_ids(segment: bytes) -> np.ndarray:
 _RUNS = ("  ", "\n\n\n", "\n\n ", "\n \n", " \n\n", " \n ")
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile(r"[^\S \n]")
+_ENDING = ".,;:!?*$%&#|\"')"
 #: New pieces given to the library as one text.
 TOGETHER = 256
 
@@ -179,7 +185,7 @@ class Encoder:
     """
 
     #: Pieces kept at most, of which the most used half stays when there are more.
-    PIECES = 400_000
+    PIECES = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -191,7 +197,7 @@ class Encoder:
         newline, space = ([*self.library.encode(x, add_special_tokens=False).ids] for x in ("\n", " "))
         self.plain = len(newline) == len(space) == 1
         self.newline = newline[0] if newline else -1
-        self.known = _Known(["", "\n"])
+        self.known, self.tails, self.tail_ids = _Known(["", "\n"]), _Known(), []
         self.starts, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0, 1], [1, 1], [1 << 40, 1 << 40]))
         self.pool = np.array([*space[:1], *newline[:1]], self.dtype)
 
@@ -202,24 +208,58 @@ class Encoder:
         return bool(odd) or any(x in text for x in self.special)
 
     def _learn(self) -> None:
+        """Put the new pieces into the table."""
         fresh, self.known.fresh = self.known.fresh, []
         if not fresh:
             return
-        bare = [x[1:] if x[0] == "\n" else " " + x for x in fresh]
+        # Letters end a token where punctuation begins, so "word," has the ids of "word" and of ",".
+        whole, made, stems, tails = [], [], [], []
+        first = len(self.starts)
+        for i, x in enumerate(fresh):
+            stem = x.rstrip(_ENDING)
+            if len(stem) < len(x) and stem.lstrip("\n").isalpha():
+                made.append(first + i)
+                stems.append(self.known[stem])
+                tails.append(self.tails[x[len(stem) :]])
+            else:
+                whole.append(first + i)
+        more, self.known.fresh = self.known.fresh, []
+        whole += range(first + len(fresh), first + len(fresh) + len(more))
+        fresh += more
+        grow = np.zeros(len(fresh), np.int64)
+        self.starts, self.sizes, self.uses = (np.concatenate([x, grow]) for x in (self.starts, self.sizes, self.uses))
+
+        bare = [x[1:] if x[0] == "\n" else " " + x for x in (fresh[i - first] for i in whole)]
+        ids, begins, ends = self._ask(bare)
+        # the newline that separates stands before the piece after it, and counts to it where it belongs there
+        after = np.array([fresh[i - first][0] == "\n" for i in whole], np.int64)
+        at = len(self.pool) + 1
+        self.pool = np.concatenate([self.pool, np.array([self.newline], self.dtype), ids.astype(self.dtype)])
+        self.starts[whole], self.sizes[whole] = at + begins - after, ends - begins + after
+
+        if made:
+            new, self.tails.fresh = self.tails.fresh, []
+            found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(new, add_special_tokens=False)] if new else []
+            self.tail_ids += found
+            one, two = np.array(stems), [self.tail_ids[t] for t in tails]
+            n1, n2 = self.sizes[one], np.array([len(t) for t in two])
+            begin = np.cumsum(n1 + n2) - (n1 + n2)
+            both = np.zeros(int((n1 + n2).sum()), self.dtype)
+            within = lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            both[np.repeat(begin, n1) + within(n1)] = self._flat(one)
+            both[np.repeat(begin + n1, n2) + within(n2)] = np.concatenate(two)
+            self.starts[made], self.sizes[made] = len(self.pool) + begin, n1 + n2
+            self.pool = np.concatenate([self.pool, both])
+
+    def _ask(self, bare: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts without newlines from the library, with newlines between, and where each begins and ends."""
         texts = ["\n".join(bare[i : i + TOGETHER]) for i in range(0, len(bare), TOGETHER)]
         parts = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.array([i for part in parts for i in (*part, self.newline)][:-1], np.int64)
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-        if len(ends) != len(fresh):
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) if bare else np.zeros(0, np.int64)
+        if len(ends) != len(bare):
             raise AssertionError("a piece held a newline")
-        begins = np.append(0, ends[:-1] + 1)
-        after = np.array([x[0] == "\n" for x in fresh])
-        # the newline that separates stands before the piece after it, and counts to it where it belongs there
-        at = len(self.pool) + 1
-        self.pool = np.concatenate([self.pool, np.array([self.newline], self.dtype), ids.astype(self.dtype)])
-        self.starts = np.concatenate([self.starts, at + begins - after])
-        self.sizes = np.concatenate([self.sizes, ends - begins + after])
-        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        return ids, np.append(0, ends[:-1] + 1)[: len(ends)], ends
 
     def _flat(self, which: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after another."""
@@ -258,6 +298,8 @@ class Encoder:
             ends = np.cumsum(self.sizes[which])[np.cumsum(counts) - 1]
             for i, a, b in zip(whose, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 out[i] = ids[a + 1 : b]  # without the newline put before the text
+            if len(self.tails) > self.PIECES:
+                self.tails, self.tail_ids = _Known(), []
             if len(self.known) > self.PIECES:
                 self._thin()
         return out
