@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, GRAMS, LONGEST = 100_000, 20_000, 5
+from loam.llm.common import Workspace
+
+WORDS, GRAMS, LONGEST = 50_000, 10_000, 5
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -130,33 +132,52 @@ class Scorer:
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def _logs(rows: list, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _logs(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Rows of (key, counts by language) as additively smoothed log frequencies."""
-    counts = np.zeros((len(rows), len(langs)))
-    place = {x: i for i, x in enumerate(langs)}
-    for i, r in enumerate(rows):
-        for lang, n in r["by"]:
-            counts[i, place[lang]] = n
-    if not len(rows):
+    counts = np.zeros((rows.num_rows, len(langs)))
+    if not rows.num_rows:
         return {}, counts
-    return {r[key]: i for i, r in enumerate(rows)}, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(rows) + 1)))
+    place = {x: i for i, x in enumerate(langs)}
+    by = rows.column("by").combine_chunks()
+    each = by.flatten()
+    sizes = np.diff(by.offsets.to_numpy())
+    lang = np.array([place[x] for x in each.field("lang").to_pylist()])
+    counts[np.repeat(np.arange(rows.num_rows), sizes), lang] = each.field("n").to_numpy()
+    return {k: i for i, k in enumerate(rows.column("key").to_pylist())}, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (rows.num_rows + 1)))
+
+
+def _most_frequent(counted: DataFrame, key: str, most: int) -> pa.Table:
+    """(key, by) of the most frequent keys, at most so many, in the order of keys.
+
+    A histogram over levels of frequency, a 64th of a doubling each, says from which level on they are
+    few enough; a level is taken whole or not at all, and only what is taken comes to the driver.
+    """
+    by = F.collect_list(F.struct("lang", "n")).alias("by")  # as many as there are languages
+    level = F.floor(F.log2(F.sum("n")) * 64).cast("int").alias("level")
+    rows = counted.groupBy(F.col(key).alias("key")).agg(level, by)
+    levels = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for r in levels:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:  # no key, or all are equally frequent and too many: the first ones by name
+        return rows.orderBy("key").limit(most).select("key", "by").toArrow()
+    return rows.where(F.col("level") >= least).select("key", "by").toArrow().sort_by("key")
 
 
 def train(labelled: DataFrame) -> Model:
     """A model of labelled (lang, text); rows with a null in either don't count."""
     rows = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by = F.collect_list(F.struct("lang", "n")).alias("by")  # as many as there are languages
-    from loam.llm.common import Workspace
-
     counted = Workspace(labelled.sparkSession, "language").table(counted)
     texts = {r["lang"]: r["n"] for r in counted.where("word = ''").collect()}
     langs = sorted(texts)
-    top = lambda df, key, n: df.groupBy(key).agg(F.sum("n").alias("n"), by).orderBy(F.desc("n"), key).limit(n).select(key, "by").collect()
-    known, table = _logs(top(counted.where("word <> ''"), "word", WORDS), "word", langs)
+    known, table = _logs(_most_frequent(counted.where("word <> ''"), "word", WORDS), langs)
     parts = counted.where("word <> ''").select("lang", "word", "n").mapInArrow(_count_grams, "lang string, size int, gram string, n long")
     parts = Workspace(labelled.sparkSession, "language").table(parts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    tails = [_logs(top(parts.where(F.col("size") == size), "gram", GRAMS), "gram", langs) for size in range(1, LONGEST + 1)]
+    tails = [_logs(_most_frequent(parts.where(F.col("size") == size), "gram", GRAMS), langs) for size in range(1, LONGEST + 1)]
     prior = np.log(np.array([texts[x] for x in langs], float) / max(1, sum(texts.values())))
     return Model(langs, prior, known, table, [k for k, _ in tails], [t for _, t in tails])
 

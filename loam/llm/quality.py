@@ -157,17 +157,17 @@ def posterior(patterns: np.ndarray, prior: np.ndarray, rates: np.ndarray) -> np.
     return _classes(patterns, prior, rates)[:, 0]
 
 
-def fit(rows: list[tuple[list[int], list[float]]], goal: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the bias) for soft labels, by full gradient steps."""
-    at = np.concatenate([np.array(s, np.int64) for s, _ in rows])
-    value = np.concatenate([np.array(v) for _, v in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
+def fit(at: np.ndarray, value: np.ndarray, doc: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the bias) for soft labels, by full gradient steps.
+
+    at, value, doc: slot, number and document of each feature; goal: the label of each document.
+    """
     share = np.array([goal.mean(), 1 - goal.mean()]).clip(0.02)
     weight = goal / share[0] + (1 - goal) / share[1]  # both classes count alike
     weight /= weight.sum()
     w, speed = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     for _ in range(STEPS):
-        z = np.bincount(doc, w[at] * value, len(rows)) + w[-1]
+        z = np.bincount(doc, w[at] * value, len(goal)) + w[-1]
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - goal)
         g = np.append(np.bincount(at, slope[doc] * value, SLOTS), slope.sum())
         speed = 0.9 * speed - RATE * (g + DECAY * w)
@@ -216,9 +216,13 @@ def train(docs: DataFrame) -> Quality:
     # The hash bound passes about twice the sample, the limit makes it exact, and only these texts are measured again.
     share = min(1.0, 2 * SAMPLE / counts.sum())
     hashed = texts.withColumn("_h", F.xxhash64("doc_id")).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = hashed.select("text", "_h").mapInArrow(_keyed, "h long, pattern string, slots array<long>, numbers array<double>").orderBy("h", "pattern").limit(SAMPLE).collect()
-    goal = posterior(as_rows([r["pattern"] for r in rows]), prior, rates)
-    return Quality(prior, rates, fit([(r["slots"], r["numbers"]) for r in rows], goal) if rows else None)
+    rows = hashed.select("text", "_h").mapInArrow(_keyed, "h long, pattern string, slots array<long>, numbers array<double>").orderBy("h", "pattern").limit(SAMPLE).toArrow()
+    if not rows.num_rows:
+        return Quality(prior, rates, None)
+    slots, numbers = rows.column("slots").combine_chunks(), rows.column("numbers").combine_chunks()
+    doc = np.repeat(np.arange(rows.num_rows), np.diff(slots.offsets.to_numpy()))
+    goal = posterior(as_rows(rows.column("pattern").to_pylist()), prior, rates)
+    return Quality(prior, rates, fit(slots.flatten().to_numpy(), numbers.flatten().to_numpy(), doc, goal))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
