@@ -138,7 +138,8 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
 def _among(df: DataFrame, ids: DataFrame, column: str, build=None, schema=None) -> DataFrame:
     """df's rows whose ``column`` is among ids, as ``build`` turns their batches: others go where they lie.
 
-    One Python worker a task does both; the few others that share a slot of the bitmap go in the semi join.
+    One Python worker a task does both. The few others that share a slot of the bitmap come along, and
+    find no partner in the joins that follow.
     """
     bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids, column)), df.columns
 
@@ -150,7 +151,7 @@ def _among(df: DataFrame, ids: DataFrame, column: str, build=None, schema=None)
                 batch = batch.select(columns).filter(pa.array(keep))
                 yield build(batch) if build else batch
 
-    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, schema or df.schema).join(ids.select(column), column, "left_semi")
+    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, schema or df.schema)
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -245,9 +246,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     short = postings.where("not long")
     other = short.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     pairs = short.join(other, (short["token"] == other["token"]) & (F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
-    verify(bounded(pairs).select(F.col("g").alias("x"), F.col("h").alias("y")))
-    whole, postings = postings, ws.table(postings.where("long").select("token", "g", "pos"))
-    ws.drop(whole)
+    waiting = bounded(pairs).select(F.col("g").alias("x"), F.col("h").alias("y"))  # compared with the next pairs
+    postings = ws.table(postings.where("long").select("token", "g", "pos"))
 
     turn, gained, enough, at_table = 0, True, None, None
     while True:
@@ -262,6 +262,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         groups_open = own.join(inner, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("m"))
         still = (live.agg(F.sum(F.expr("(m * m - same) div 2"))).first()[0] or 0) + (groups_open.agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0] or 0)
         if not still:
+            if waiting is not None:
+                verify(waiting)
             break
         # components only grow, so a posting without open pairs never has any again
         last, at = at_table, ws.table(at.join(live.select("token", "most"), "token"))
@@ -291,7 +293,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             heads = members.groupBy("g").agg(F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("head"))
             across = pairs.join(own, "g").join(heads.select(F.col("g").alias("h"), F.col("head").alias("y")), "h").select(F.col("node").alias("x"), "y")
             within = own.join(inner, "g", "left_semi").join(heads, "g").select(F.col("node").alias("x"), F.col("head").alias("y"))
-            asked, joined = verify(across.union(within))
+            asked, joined = verify(across.union(within) if waiting is None else across.union(within).union(waiting))
+            waiting = None
             enough = WORTH * asked if enough is None else enough
             gained = joined >= enough
             turn += 1
@@ -304,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         across = pairs.join(left, "g").join(right, "h").where("cx <> cy").select("x", "y")
         mixed = left.join(inner, "g", "left_semi")
         within = mixed.join(right, (F.col("g") == F.col("h")) & F.expr("x < y and cx <> cy")).select("x", "y")
-        verify(across.union(within))
+        verify(across.union(within) if waiting is None else across.union(within).union(waiting))
         break
 
     ends = nodes.select("n", "f1", "f2", "node")
