@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +91,12 @@ def pack_ids(ids: np.ndarray) -> bytes:
     step = _COUNTS[choice]
     step[choice == ESCAPE] = 1
     # All blocks are walked in step, a word of each at a time.
-    place, live, chosen = np.zeros(blocks, np.int64), np.arange(blocks), []
+    place, live, begins = np.zeros(blocks, np.int64), np.arange(blocks), np.zeros(blocks * BLOCK, bool)
     while len(live):
-        chosen.append(live * BLOCK + place[live])
+        begins[live * BLOCK + place[live]] = True
         place[live] += step[live, place[live]]
         live = live[place[live] < ends[live]]
-    first = np.sort(np.concatenate(chosen))
+    first = np.flatnonzero(begins)
     selector = choice.ravel()[first]
     flat = np.append(grid.ravel(), np.zeros(60, np.uint64))
     stop = (first // BLOCK) * BLOCK + ends[first // BLOCK]
@@ -321,11 +322,11 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, shard = encoder(path), TaskContext.get().partitionId()
         segment = before = held = 0
-        docs, sizes, ids = [], [], []
+        docs, sizes, ids, last = [], [], [], np.array([end], tokens.dtype)
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, before, held, docs, sizes, ids
-            values = np.concatenate(ids)
+            values = np.concatenate(ids).astype(np.uint64)
             row = {"shard": shard, "segment": segment, "ids_before": before, "n_ids": len(values), "doc_ids": docs, "n_tokens": sizes, "payload": pack_ids(values)}
             segment, before, held, docs, sizes, ids = segment + 1, before + len(values), 0, [], [], []
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
@@ -334,7 +335,7 @@ def _encode(path: str, end: int):
         for batch in batches:
             whose, texts = batch.column(0), batch.column(1)
             at, n = 0, batch.num_rows
-            lengths = [len(t) if t else 0 for t in texts.to_pylist()]
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             while at < n:
                 stop, size = at, 0
                 while stop < n and (stop == at or size + lengths[stop] <= CHARS):
@@ -343,7 +344,7 @@ def _encode(path: str, end: int):
                 for doc, got in zip(whose.slice(at, stop - at).to_pylist(), tokens.encode(texts.slice(at, stop - at).to_pylist()), strict=True):
                     docs.append(doc)
                     sizes.append(len(got) + 1)
-                    ids += [got.astype(np.uint64), np.array([end], np.uint64)]
+                    ids += [got, last]
                     held += len(got) + 1
                     if held >= SEGMENT:
                         yield flush()
@@ -385,7 +386,8 @@ def _digest(base: dict[int, int]):
                 sizes = np.array(row["n_tokens"], np.int64)
                 stops = np.cumsum(sizes)
                 start = base[row["shard"]] + row["ids_before"] + stops - sizes
-                sums = [zlib.crc32(ids[j - n : j].tobytes()) for j, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+                view = memoryview(ids)
+                sums = [zlib.crc32(view[j - n : j]) for j, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
