@@ -51,6 +51,8 @@ SLOTS = 1 << 23
 SHORT = 8
 #: A leader round is worth another if it joined components by this part of the first one's comparisons.
 WORTH = 0.02
+#: Links that a label travels within a round.
+STEPS = 3
 #: Leaders that one set of postings is dealt to in a round.
 LEADERS = 16
 
@@ -176,6 +178,20 @@ def _linked(percent: int):
     return compare
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, c) of linked nodes: the least node within ``STEPS`` links.
+
+    Nodes of one label are connected; the rounds need no more than that, and the components proper are
+    found once, at the end.
+    """
+    both = links.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("to")))
+    labels = both.groupBy("node").agg(F.min("to").alias("c")).select("node", F.least("node", "c").alias("c"))
+    for _ in range(STEPS - 1):
+        met = both.join(labels.select(F.col("node").alias("to"), "c"), "to").select("node", "c").unionByName(labels)
+        labels = met.groupBy("node").agg(F.min("c").alias("c"))
+    return labels
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of the links Jaccard >= percent / 100.
 
@@ -204,7 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     labels: DataFrame | None = None  # (node, c) of nodes with a link
     tested: DataFrame | None = None
     links: DataFrame | None = None
-    spared = 0  # nodes that aren't their component's least
+    spared = 0  # nodes whose label isn't their own
 
     need = F.expr(f"cast(ceil({percent} * (n + n2) / {100 + percent}.0D - 1e-9) as long)")
     fits = (F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")) & (F.col("pos") < F.col("n") - need + 1) & (F.col("pos2") < F.col("n2") - need + 1)
@@ -238,7 +254,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         ws.drop(sets, ids)
         tested = fresh if tested is None else ws.table(tested.union(fresh))
         links = found if links is None else ws.table(links.union(found))
-        labels = connected_components(ws, links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
+        labels = ws.table(_near_labels(links))
         was, spared = spared, labels.where("node <> c").count()
         return fresh.count(), spared - was
 
@@ -310,6 +326,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         verify(across.union(within) if waiting is None else across.union(within).union(waiting))
         break
 
+    labels = None if links is None else connected_components(ws, links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
     ends = nodes.select("n", "f1", "f2", "node")
     ends = ends.withColumn("c", F.col("node")) if labels is None else ends.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
     linked = known.select("doc_id", "n", "f1", "f2").join(ends.select("n", "f1", "f2", "c"), ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
