@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a batch that goes to a Python worker. Texts are long: Spark's default of 10,000 rows holds tens of
+#: megabytes several times over, in the executor and in each worker.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS``, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= int(BATCH_ROWS):
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Workspace:
     """Stage tables of one operator run, written as Parquet below the shared folder.
 
@@ -30,6 +42,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
         self._n = 0
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.common import small_batches
+
 #: Element names of HTML, by what they do here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,6 +187,7 @@ def learn_weights(pages: DataFrame) -> dict[str, float]:
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     weights = learn_weights(pages) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

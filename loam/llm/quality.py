@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.llm.common import small_batches
+
 SAMPLE, MOST, SLOTS, KEEP = 20_000, 96, 1 << 12, 0.5
 ROUNDS, STEPS, RATE, DECAY = 100, 400, 2.0, 1e-5
 
@@ -206,6 +208,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame) -> Quality:
     """The model of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = texts.select("text").mapInArrow(_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     as_rows = lambda p: np.array([[int(c) for c in x] for x in p], np.int64).reshape(-1, N_VOTES)
