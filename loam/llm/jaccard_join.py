@@ -234,9 +234,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (g, h) of groups whose shared prefix shingles leave the threshold within reach."""
         pairs = ws.table(pairs)
-        some = ws.table(_among(groups.select("g", "n", "prefix"), pairs.select("g").union(pairs.select("h")).distinct(), "g"))
+        # 32-bit hashes of the prefixes do: those that collide inside a prefix are added, so it stays a bound
+        narrow = groups.select("g", "n", F.transform("prefix", lambda t: F.hash(t)).alias("prefix"))
+        some = ws.table(_among(narrow, pairs.select("g").union(pairs.select("h")).distinct(), "g"))
         both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
-        reach = F.size(F.array_intersect("prefix", "prefix2")) + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
+        shared = F.size(F.array_intersect("prefix", "prefix2")) + F.size("prefix") - F.size(F.array_distinct("prefix"))
+        reach = shared + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
         return both.where(reach >= need).select("g", "h")
 
     def verify(pairs: DataFrame) -> tuple[int, int]:
