@@ -39,8 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, length, bucket, bucket_length, batch, slot and padding of every document."""
-    return packing.packed(docs)
+    """doc_id, length in tokens, bucket, bucket_length, batch, slot and padding of every document."""
+    return packing.packed_by_tokens(docs)
 
 
 STAGES = [

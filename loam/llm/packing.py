@@ -11,17 +11,23 @@ are binned by 1 / 1024 of their power of two, so a length of 2**31 adds 21 x 102
 programme is exact for boundaries at bin ends. Ranks in buckets are range-partitioned running totals:
 a bucket with a third of all rows spreads over many tasks.
 
+A document's length is its number of tokens under op4's tokenizer, without an end id; ``packed`` takes
+another measure of texts where a caller gives one, and counts words where none is given.
+
 Null and empty texts have length 0 and lie in the first bucket. Repeated rows are packed as often as
 they occur.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import Workspace, running_totals
+from loam.llm.token_files import size_in_tokens
 from loam.llm.words import size_in_words
 
 BUCKETS, BUDGET, EXACT = 16, 16_384, 2_048
@@ -92,11 +98,20 @@ def pack(ws: Workspace, sized: DataFrame, buckets: int = BUCKETS, budget: int =
     )
 
 
-def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, size: Callable[[Column], Column] = size_in_words) -> DataFrame:
+    """Every document packed by ``size`` of its text, in whose unit the budget is."""
     ws = Workspace(docs.sparkSession, "pack")
-    sized = ws.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_in_words(F.col("text")).alias("length")))
+    sized = ws.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size(F.col("text")).alias("length")))
     return pack(ws, sized, buckets, budget)
 
 
+def packed_by_tokens(docs: DataFrame) -> DataFrame:
+    """Every document packed by its number of tokens, the budget in tokens."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packed(docs, size=lambda text: size_in_tokens(text, path))
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed_by_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import Workspace
@@ -275,34 +275,62 @@ class Encoder:
         self.known = _Known([names[i] for i in best])
         self.pool, self.sizes, self.starts, self.uses = pool, sizes, np.cumsum(sizes) - sizes, self.uses[best] >> 1
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list = [None] * len(texts)
+    def _split(self, texts: list[str]) -> tuple[list[int], list[int], list[int], list[str]]:
+        """Texts that go through the library whole; the other ones, the number of pieces of each, and the pieces."""
         pieces, counts, whose, direct = [], [], [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = np.zeros(0, self.dtype)
-            elif not self.plain or self._needs_library(text):
+                continue
+            if not self.plain or self._needs_library(text):
                 direct.append(i)
             else:
                 parts = ("\n" + text).replace("\n", " \n").split(" ")
                 pieces += parts[1:]
                 counts.append(len(parts) - 1)
                 whose.append(i)
+        return direct, whose, counts, pieces
+
+    def _look_up(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces, those new to the table learned."""
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self._learn()
+        self.uses += np.bincount(which, minlength=len(self.uses))
+        return which
+
+    def _bound(self) -> None:
+        if len(self.tails) > self.PIECES:
+            self.tails, self.tail_ids = _Known(), []
+        if len(self.known) > self.PIECES:
+            self._thin()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = [np.zeros(0, self.dtype)] * len(texts)
+        direct, whose, counts, pieces = self._split(texts)
         for i in direct:
-            out[i] = np.array(self.library.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, self.dtype)
+            out[i] = np.array(self._whole(texts[i]), self.dtype)
         if whose:
-            which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            self._learn()
-            self.uses += np.bincount(which, minlength=len(self.uses))
+            which = self._look_up(pieces)
             ids = self._flat(which)
             ends = np.cumsum(self.sizes[which])[np.cumsum(counts) - 1]
             for i, a, b in zip(whose, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 out[i] = ids[a + 1 : b]  # without the newline put before the text
-            if len(self.tails) > self.PIECES:
-                self.tails, self.tail_ids = _Known(), []
-            if len(self.known) > self.PIECES:
-                self._thin()
+            self._bound()
+        return out
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text; the ids of known pieces aren't put together for it."""
+        out = np.zeros(len(texts), np.int64)
+        direct, whose, counts, pieces = self._split(texts)
+        for i in direct:
+            out[i] = len(self._whole(texts[i]))
+        if whose:
+            which = self._look_up(pieces)
+            out[whose] = np.add.reduceat(self.sizes[which], np.cumsum(counts) - counts) - 1  # without the newline put before the text
+            self._bound()
         return out
 
 
@@ -318,6 +346,30 @@ SCHEMA = "shard int, segment int, ids_before long, n_ids long, doc_ids array<lon
 CHARS = 1 << 21
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``CHARS`` characters at most, or of one text."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    at, n = 0, len(lengths)
+    while at < n:
+        stop, size = at, 0
+        while stop < n and (stop == at or size + lengths[stop] <= CHARS):
+            size += lengths[stop]
+            stop += 1
+        yield at, stop
+        at = stop
+
+
+def size_in_tokens(text: Column, path: str) -> Column:
+    """Ids of a text under the tokenizer at ``path``, without an end id, as a long; 0 for null."""
+
+    def count(column: pa.Array) -> pa.Array:
+        tokens = encoder(path)
+        parts = [tokens.lengths(column.slice(at, stop - at).to_pylist()) for at, stop in _portions(column)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+
+    return F.arrow_udf(count, "long")(text.cast("string"))
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, shard = encoder(path), TaskContext.get().partitionId()
@@ -334,13 +386,7 @@ def _encode(path: str, end: int):
 
         for batch in batches:
             whose, texts = batch.column(0), batch.column(1)
-            at, n = 0, batch.num_rows
-            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
-            while at < n:
-                stop, size = at, 0
-                while stop < n and (stop == at or size + lengths[stop] <= CHARS):
-                    size += lengths[stop]
-                    stop += 1
+            for at, stop in _portions(texts):
                 for doc, got in zip(whose.slice(at, stop - at).to_pylist(), tokens.encode(texts.slice(at, stop - at).to_pylist()), strict=True):
                     docs.append(doc)
                     sizes.append(len(got) + 1)
@@ -348,7 +394,6 @@ def _encode(path: str, end: int):
                     held += len(got) + 1
                     if held >= SEGMENT:
                         yield flush()
-                at = stop
         if docs:
             yield flush()
 

@@ -67,3 +67,24 @@ def test_files(spark, tmp_path, monkeypatch):
     assert T.export(spark, path, str(tmp_path / "bin")) == T.read_tokens(spark, path).count()
     T.write_tokens(docs.limit(0), path + "0", PATH)
     assert T.digest(spark, path + "0").count() == 0
+
+
+def test_packing_counts_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from loam.llm import packing
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "x" * 30_000), (-4, "a  b\t<|endoftext|>"), (-5, "one two\n")]
+    library = Tokenizer.from_file(PATH)
+    want = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r["doc_id"]: r["length"] for r in packing.op9_packing(spark, sf).collect()} == want
+    want |= {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in odd}
+    rows = corpus_pipeline.packing_stage(spark, docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")), sf).collect()
+    assert {r["doc_id"]: r["length"] for r in rows} == want
+    batches = {}
+    for r in rows:
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r["bucket_length"])
+    assert all(sum(held) <= packing.BUDGET or len(held) == 1 for held in batches.values())
