@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the table's labels teach; those without a letter or in doubt go."""
+    """Documents in a language that the table's labels teach; those without a letter, in doubt or unlike what was learned go."""
     labelled = docs.where(language_id.fold(F.col("doc_id")) != 2).select("lang", "text")
     return language_id.identified(docs, language_id.train(labelled))
 

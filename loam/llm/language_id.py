@@ -10,6 +10,10 @@ winner's posterior probability.
 Words are runs of letters, lower-cased. Texts that are null or without a letter are ``und`` with score
 0, as are all texts where nothing was labelled. Labelled rows need a text with a letter and a language.
 
+The posterior says which language, not whether it is any of them: a text of unknown words has the
+prior's. So ``identified`` asks for evidence too, the share of a text's words that are known or hold
+a known n-gram of the longest length; it doesn't depend on the languages' shares.
+
 The model is bounded whatever the corpus: the ``WORDS`` most frequent words and the ``GRAMS`` most
 frequent n-grams of each length, counted over all labelled texts, with one number for each language.
 """
@@ -30,6 +34,8 @@ from loam.llm.common import Workspace
 WORDS, GRAMS, LONGEST = 50_000, 10_000, 5
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
+#: Least evidence: held-out texts of sf0.01 and sf0.1 have 0.9 and more, sentences in other languages 0.3 and less.
+EVIDENCE = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -96,6 +102,10 @@ class Model:
                 return table[rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def resembles(self, word: str) -> bool:
+        """Whether an unseen word holds a known n-gram of the longest length."""
+        return bool(self.tail) and any(g in self.tail[-1] for g in grams(word, len(self.tail)))
+
 
 class Scorer:
     """A model in a Python worker, with the scores of words met before."""
@@ -109,27 +119,34 @@ class Scorer:
     def forget(self) -> None:
         self.rows = dict(self.model.known)
         self.table = np.concatenate([self.model.table, np.zeros((4096, len(self.model.langs)))])
+        self.backed = np.ones(len(self.table), bool)
         self.base = self.used = len(self.model.table)
 
     def row(self, word: str) -> int:
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table[: max(4096, self.used - self.base)])])
+            self.backed = np.concatenate([self.backed, np.ones(len(self.table) - self.used, bool)])
         self.table[self.used] = self.model.unseen(word)
+        self.backed[self.used] = self.model.resembles(word)
         self.rows[word] = at = self.used
         self.used += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its posterior probability and the evidence."""
         found = words(text) if text else []
         if not found or not self.model.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         if self.used - self.base > self.KEPT:
             self.forget()
         rows = self.rows
         at = [rows[w] if w in rows else self.row(w) for w in found]
         total = self.model.prior + self.table[at].sum(axis=0)
         best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(self.backed[at].mean())
 
 
 def _logs(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
@@ -211,16 +228,16 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(rows, model, "doc_id", "held_out")
 
 
-def identified(docs: DataFrame, model: Model, wanted: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, in a wanted language (default: any learned) with the least score."""
+def identified(docs: DataFrame, model: Model, wanted: list[str] | None = None, least: float = 0.5, evidence: float = EVIDENCE) -> DataFrame:
+    """The rows of docs, with all their columns, in a wanted language (default: any learned) with the least score and evidence."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     wanted = frozenset(model.langs if wanted is None else wanted)
 
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            got = [scorer.predict(t) for t in texts.to_pylist()]
-            yield pa.array([lang in wanted and score >= least for lang, score in got], pa.bool_())
+            got = [scorer.judge(t) for t in texts.to_pylist()]
+            yield pa.array([lang in wanted and score >= least and backed >= evidence for lang, score, backed in got], pa.bool_())
 
     passes.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.where(F.arrow_udf(passes, "boolean")(F.col("text").cast("string")))

@@ -49,6 +49,20 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in L.predict(df, none, "doc_id").collect()} == {"und"}
 
 
+def test_unlearned_languages_go(spark, docs):
+    strange = [
+        (-1, "Кошка спит на диване у окна, а на улице идёт дождь"), (-2, "猫在沙发上睡觉 外面下雨"), (-3, "Η γάτα κοιμάται δίπλα στο παράθυρο"),
+        (-4, "Il gatto dorme sul divano vicino alla finestra mentre fuori piove e la gente cammina per strada"), (-5, "Kot śpi na kanapie przy oknie podczas gdy na zewnątrz pada deszcz"),
+    ]
+    rows = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame([(i, None, t) for i, t in strange], "doc_id long, lang string, text string"))
+    kept = {r["doc_id"] for r in pipeline.language_stage(spark, rows, "").collect()}
+    assert not kept & {i for i, _ in strange}
+    assert {r["doc_id"] for r in docs.where(L.fold(F.col("doc_id")) == 2).collect()} <= kept
+    # with one language of almost all texts its prior is near 1, which mustn't stand for evidence
+    skewed = rows.where("lang = 'en' or lang is null or doc_id % 10 = 0")
+    assert not {r["doc_id"] for r in pipeline.language_stage(spark, skewed, "").collect()} & {i for i, _ in strange}
+
+
 def test_backoff_takes_the_longest_known():
     model = L.Model(["a", "b"], np.zeros(2), {"word": 0}, np.array([[-1.0, -2.0]]), [{"z": 0}, {"<z": 0}], [np.array([[-5.0, -1.0]]), np.array([[-1.0, -5.0]])])
     assert model.unseen("zz").argmax() == 0 and model.unseen("yz").argmax() == 1
