@@ -8,7 +8,9 @@ region with the greatest sum, and the region's words are the text.
 What a page marks as something else is no content wherever it lies: menus, headers, footers, sidebars,
 forms, adverts, notices and comments, by element name or by a word of class, id or role. Such an
 element counts as a single tag in the sequence, so that an advert between two paragraphs doesn't part
-them, and its words are left out. Scripts, styles, comments of the markup and other elements without
+them, and its words are left out. An element that class, id or role would set apart but that holds most
+of the page's content, as a wrapper of class "has-sidebar" does, is not: the scan decides about what lies
+in it. Scripts, styles, comments of the markup and other elements without
 running text are skipped.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
@@ -66,6 +68,54 @@ def _apart(name: str, attributes: str) -> bool:
     return any(APART.search(next(x for x in m if x) if any(m) else "") for m in ATTRIBUTE.findall(attributes))
 
 
+def _wrappers(page: str) -> set[int]:
+    """Where elements begin that class, id or role would set apart, but that hold most of the page's content.
+
+    Content is the words in ``article`` and ``main``, or all where there are none; those in elements set
+    apart by name don't count.
+    """
+    open_: list[tuple[str, tuple[int, int, int] | None]] = []  # with the place and the counts before it, if set apart
+    names: Counter = Counter()
+    words = inside = asides = marked = at = 0
+    held: list[tuple[int, int, int]] = []
+
+    def close() -> str:
+        nonlocal asides, marked
+        name, began = open_.pop()
+        names[name] -= 1
+        asides -= name in ASIDE
+        marked -= name in MARKED
+        if began:
+            held.append((began[0], words - began[1], inside - began[2]))
+        return name
+
+    for m in TOKEN.finditer(page):
+        if m.start() > at and not asides:
+            n = len(page[at : m.start()].split())
+            words, inside = words + n, inside + n * (marked > 0)
+        at = m.end()
+        name = (m[3] or m[6] or "").lower()
+        if not name or name in VOID:
+            continue
+        closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
+        if not closing:
+            apart = name not in ASIDE and _apart(name, attributes)
+            if apart or name not in INLINE or names[name]:
+                open_.append((name, (m.start(), words, inside) if apart else None))
+                names[name] += 1
+                asides += name in ASIDE
+                marked += name in MARKED
+        elif names[name]:
+            while close() != name:
+                pass
+    if at < len(page) and not asides:
+        n = len(page[at:].split())
+        words, inside = words + n, inside + n * (marked > 0)
+    while open_:
+        close()
+    return {start for start, n, k in held if (2 * k > inside if inside else 2 * n > words)}
+
+
 def sequence(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, marked) in page order: ("text", decoded text), ("tag", name) and ("gap", name).
 
@@ -73,6 +123,7 @@ def sequence(page: str) -> Iterator[tuple[str, str, bool]]:
     """
     open_: list[str] = []  # block elements around
     hidden = None  # how many were open when one set apart began
+    wrappers = None
     marked = 0
     at = 0
     for m in TOKEN.finditer(page):
@@ -83,7 +134,11 @@ def sequence(page: str) -> Iterator[tuple[str, str, bool]]:
         if not name:
             continue
         closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
-        if hidden is None and not closing and name not in VOID and _apart(name, attributes):
+        apart = hidden is None and not closing and name not in VOID and _apart(name, attributes)
+        if apart and name not in ASIDE:
+            wrappers = _wrappers(page) if wrappers is None else wrappers
+            apart = m.start() not in wrappers
+        if apart:
             yield "gap", name if name in NAMES else "other", marked > 0
             hidden = len(open_)
             open_.append(name)

@@ -39,6 +39,23 @@ def test_menu_without_a_name_is_outside():
     assert text(f"<ul>{links}</ul><p>{'word ' * 30}</p><ul>{links}</ul>") == ("word " * 30).strip()
 
 
+def test_wrappers_are_read():
+    """A class that speaks of a sidebar or comments doesn't hide the article around which it lies."""
+    inner = "<h1>Title</h1><p>one two <span class='ad'>buy</span>three</p><div class='comments'><p>reader</p></div>"
+    want = "Title one two three"
+    for page in (
+        f"<body><div class='layout has-sidebar'><div class='sidebar'>a b c</div><article>{inner}</article></div></body>",
+        f"<div id='page' class='no-comments'><div class=related><article>teaser</article></div><main>{inner}</main></div>",
+        f"<div class='with-header'><div id=form-page>{inner}</div></div><div class='footer'>end</div>",
+        f"<main><div class='side content'><article>{inner}</article></div></main>",
+        f"<div class='no-menu'><article>{inner}",
+    ):
+        assert text(page) == want, page
+    # what isn't around the article stays apart, however long
+    assert text(f"<article>{inner}</article><div class='comments'>{'reader ' * 50}</div>") == want
+    assert text("<div class='search'>" * 3000 + "<p>deep words</p>") == "deep words"
+
+
 def test_pages_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in H.extract(pages.withColumn("text", F.lit("clash"))).collect()}
