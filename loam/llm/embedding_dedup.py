@@ -14,7 +14,8 @@ link, the number of links and the least partner of a spanning forest, never the
 Copies of a vector are one node with a weight. The cells are few, as coordinates lie within -1 and 1:
 their sizes are what the driver reads. Vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, link with nothing; vectors of different lengths never link. Rows
-that share a vec_id with different vectors count as one vertex.
+that share a vec_id with different vectors count as one vertex; a row whose own vector can't take part
+links with nothing, whatever other rows of its vec_id hold.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import Workspace
 from loam.llm.components import connected_components
-from loam.llm.vectors import by_dimension, unit, usable
+from loam.llm.vectors import by_dimension, is_usable, unit
 
 BLOCKS, CHUNK, COSINE = 4, 8192, 0.95
 #: Rows and columns compared at a time, and candidates verified at a time.
@@ -160,8 +161,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding)."""
     ws = Workspace(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    good = usable(rows).where("vec_id is not null").withColumn("key", F.md5(F.to_json(F.struct("embedding")).cast("binary")))
-    held = ws.table(rows.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(None).cast("string").alias("key"), "embedding").unionByName(good.select("vec_id", "key", "embedding")))
+    taking_part = is_usable(F.col("embedding")) & F.col("vec_id").isNotNull()
+    held = ws.table(rows.select("vec_id", F.when(taking_part, F.md5(F.to_json(F.struct("embedding")).cast("binary"))).alias("key"), "embedding"))
     nodes = ws.table(held.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")))
     census = nodes.select("embedding").mapInArrow(_census(cosine), "d long, b long, cell long, n long").groupBy("d", "b", "cell").agg(F.sum("n").alias("n")).collect()
     chunks = {(r["d"], r["b"], r["cell"]): -(-r["n"] // CHUNK) for r in census}

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector is not null or empty, has only finite components, and isn't zero."""
-    v = F.col(column)
+def is_usable(v: Column) -> Column:
+    """Whether a vector is not null or empty, has only finite components, and isn't zero; never null."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.where(v.isNotNull() & (F.size(v) > 0)).where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose vector is usable."""
+    return df.where(is_usable(F.col(column)))
 
 
 def by_dimension(column: pa.Array):

@@ -148,6 +148,14 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_row_of_a_repeated_id_stays(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, None), (2, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, [0.0, 1.0]), (3, []), (None, [1.0, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got[2:] == [(1, 1, 1), (2, 0, 2), (2, 0, 2), (2, 0, 2), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+    assert got[:2] == [(-1, 0, None)] * 2
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 64)
     monkeypatch.setattr(ann, "ASKED", 8)
