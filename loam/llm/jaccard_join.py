@@ -10,20 +10,28 @@ prefix form one *group*; the join runs on groups:
    on the overlap from the number of shared prefix shingles;
 3. surviving group pairs are expanded to their members, whose whole sets are compared exactly.
 
-All pairs of short postings are compared. In long ones the pairs would grow with the square of a
-cluster; as links are asked for as components, pairs that are connected already need no comparison.
-*Leader rounds* compare every member of a posting with one leader of it, which is linear in the
-postings, and merge what links. They repeat with new leaders while the pairs still open would
-outnumber the postings and rounds still join; then every open pair is enumerated and compared. Nothing
-is capped: the rounds only decide the order in which pairs are looked at.
+Pairs of postings of at most ``SHORT`` nodes are formed so. In longer ones, and within groups, the
+pairs would grow with the square of a cluster. They are *recentred* instead. The centre L of a posting is the
+majority of a few of its sets: the passage that they have in common. Of a set x only the difference
+from L counts, R = L - x and A = x - L, as
+
+    |x & y| = |L| - |Rx| - |Ry| + |Rx & Ry| + |Ax & Ay|.
+
+With ``s(x) = (1 + t) |Rx| + t |x|`` (times 100, in whole numbers) x and y link for certain where
+``s(x) + s(y) <= (1 + t) |L|``, and otherwise only if their differences share at least
+``(s(x) + s(y)) / (1 + t) - |L|`` shingles. So everything near enough to the set of least s links with
+it, and all other links lie between sets that share a shingle of the prefixes of their *differences*:
+new, shorter postings, worked off alike. (The first postings are those of an empty centre.) Postings of
+at most ``SMALL`` rows, or whose differences would fill more rows than they have pairs, are enumerated.
+Nothing is capped; any centre and any order give the same links.
 
 The order of shingles is (weight, hash). Weights are counts of shingles that are frequent within a
 stretch of one task's documents, summed over the corpus; all others weigh 0. Common passages so come
-last, outside prefixes. Any order gives the same links; the weights only keep postings short, and
-the ``ORDERED`` heaviest are kept, a fixed bound for what is broadcast.
+last, outside prefixes. The weights only keep postings short, and the ``ORDERED`` heaviest are kept, a
+fixed bound for what is broadcast.
 
 Rows without words have an empty set and link with nothing. Rows with a null doc_id link with
-nothing and have a null component. Rows that share a doc_id count as one vertex. Tokens are compared
+nothing and have a null component. Rows that share a doc_id count as one vertex. Shingles are compared
 as 64-bit hashes, node identity as 128 bits.
 """
 
@@ -45,16 +53,14 @@ ORDERED = 200_000
 #: Shingles a task holds before it counts them, and the count within them from which one has a weight.
 STRETCH, LOCAL = 2_000_000, 3
 _SALT = np.uint64(0x632BE59BD9B4E019)
-#: Slots of the bitmap that spares the second reading of texts what no pair needs.
-SLOTS = 1 << 23
-#: Groups of a posting that is short: no more pairs than SHORT / 2 for each of its rows.
-SHORT = 8
-#: A leader round is worth another if it joined components by this part of the first one's comparisons.
-WORTH = 0.02
-#: Links that a label travels within a round.
+#: Bits of the largest bitmap that spares texts a shuffle (8 MB), and its bits for each id.
+BITS, SPREAD = 1 << 26, 8
+#: Nodes of a posting whose group pairs are formed at once, and rows of one that isn't recentred.
+SHORT, SMALL = 8, 32
+#: Sets whose majority is a centre.
+SAMPLE = 9
+#: Links that a label travels between rounds.
 STEPS = 3
-#: Leaders that one set of postings is dealt to in a round.
-LEADERS = 16
 
 
 def _frequent(k: int):
@@ -84,16 +90,19 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _weights(s: np.ndarray, order: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    if not len(order):
+        return np.zeros(len(s), np.int64)
+    slot = np.minimum(np.searchsorted(order, s), len(order) - 1)
+    return np.where(order[slot] == s, weight[slot], 0)
+
+
 def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
     """doc_id, size, 128-bit fingerprint and ordered prefix of each text's set."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        want = prefix_length(n, percent)
-        if not len(order):
-            return s[:want]
-        slot = np.minimum(np.searchsorted(order, s), len(order) - 1)
-        w = np.where(order[slot] == s, weight[slot], 0)
+        want = prefix_length(len(s), percent)
+        w = _weights(s, order, weight)
         light = s[w == 0]
         if len(light) >= want:
             return light[:want]
@@ -125,39 +134,40 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
     return sketch
 
 
-def _slot(c):
-    return F.pmod(F.xxhash64(c), F.lit(SLOTS))
-
-
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the ids' slots: at most SLOTS / 64 rows come to the driver, whatever the number of ids."""
-    words = ids.select(_slot(column).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(SLOTS // 64, np.int64)
+def _bitmap(slots: DataFrame, size: int) -> np.ndarray:
+    """The bits of slots: at most size / 64 rows come to the driver, whatever the number of ids."""
+    words = slots.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
-def _among(df: DataFrame, ids: DataFrame, column: str, build=None, schema=None) -> DataFrame:
-    """df's rows whose ``column`` is among ids, as ``build`` turns their batches: others go where they lie.
+def _among(df: DataFrame, ids: DataFrame, column: str, build, schema: str) -> DataFrame:
+    """df's rows whose ``column`` is among ids (distinct), as ``build`` turns their batches.
 
-    One Python worker a task does both. The few others that share a slot of the bitmap come along, and
-    find no partner in the joins that follow.
+    Up to BITS / SPREAD ids rows are filtered where they lie, by a bitmap of hashes in the same Python
+    worker that builds; the few others that share a bit come along and find no partner in the joins that
+    follow. Beyond, a bitmap would fill up, and the rows are joined.
     """
-    bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids, column)), df.columns
+    n = ids.count()
+    if n > BITS // SPREAD:
+        return df.join(ids.select(column), column, "left_semi").select(df.columns).mapInArrow(lambda batches: map(build, batches), schema)
+    size = max(1 << 16, 1 << (max(1, n) * SPREAD - 1).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids.select(slot(column).alias("s")), size)), df.columns
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(batch.num_columns - 1).to_numpy()
-            keep = (bits.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (bits.value[at >> 6] >> (at & 63)) & 1 == 1
             if keep.any():
-                batch = batch.select(columns).filter(pa.array(keep))
-                yield build(batch) if build else batch
+                yield build(batch.select(columns).filter(pa.array(keep)))
 
-    return df.withColumn("_slot", _slot(column)).mapInArrow(sift, schema or df.schema)
+    return df.withColumn("_slot", slot(column)).mapInArrow(sift, schema)
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set) of the documents among ids: texts are filtered where they lie, never shuffled."""
+    """(doc_id, set) of the documents among ids: texts are filtered where they lie."""
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
@@ -165,6 +175,54 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return _among(docs.where("doc_id is not null"), ids, "doc_id", build, "doc_id long, set binary")
 
 
+def _as_set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _majority(sample: pa.Table) -> pa.Table:
+    """(key, centre, set) of the sampled (key, set) of one posting: what most of the sets hold."""
+    token, count = np.unique(np.concatenate([_as_set(v) for v in sample.column("set")]), return_counts=True)
+    core = token[2 * count > sample.num_rows]
+    centre = mix(mix(core).sum(dtype=np.uint64, keepdims=True) + _SALT).view(np.int64)
+    return pa.table({"key": sample.column("key")[:1], "centre": pa.array(centre), "set": pa.array([core.tobytes()], pa.binary())})
+
+
+def _differences(percent: int, order: np.ndarray, weight: np.ndarray):
+    """(centre, x, n, d, s, t, least, tokens) of rows (centre, x, centre's set, x's set).
+
+    d: shingles of the difference; s as in the module's docstring, t what s(x) + s(y) must not exceed to
+    link for certain; least: shingles of the difference that any link shares, by x's size alone; tokens:
+    as many of the difference's first shingles as any link can need.
+    """
+    whole = 100 + percent
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, tokens = [], []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                centre, own = _as_set(p), _as_set(q)
+                added = own[~np.isin(own, centre, assume_unique=True)]
+                lost = centre[~np.isin(centre, own, assume_unique=True)]
+                n, size, r, d = len(own), len(centre), len(lost), len(lost) + len(added)
+                s, t = whole * r + percent * n, whole * size
+                least = -(-percent * n // 100) - size + r
+                need = max(1, least, -(-(s + percent * size - t) // whole))
+                # what a set lacks of its centre is rarer than anything with a weight
+                heavy = np.concatenate([2 * _weights(added, order, weight), np.ones(r, np.int64)])
+                token = np.concatenate([added, mix(lost + _SALT)])
+                numbers.append((n, d, s, t, least))
+                tokens.append(token[np.lexsort((token, heavy))][: max(0, d - need + 1)])
+            at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+            flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
+            columns = np.array(numbers, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                names=["centre", "x", "n", "d", "s", "t", "least", "tokens"],
+            )
+
+    return differ
+
+
 def _linked(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +250,30 @@ def _near_labels(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _group_pairs(ws: Workspace, postings: DataFrame, groups: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of nodes whose groups share a posting and pass the filters."""
+    need = F.expr(f"cast(ceil({percent} * (n + n2) / {100 + percent}.0D - 1e-9) as long)")
+    fits = (F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")) & (F.col("pos") < F.col("n") - need + 1) & (F.col("pos2") < F.col("n2") - need + 1)
+    other = postings.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    pairs = ws.table(postings.join(other, "token").where((F.col("g") < F.col("h")) & fits).select("g", "h").distinct())
+    # 32-bit hashes of the prefixes do: those that collide inside a prefix are added, so it stays a bound
+    narrow = groups.select("g", "n", F.transform("prefix", lambda t: F.hash(t)).alias("prefix"))
+    some = ws.table(narrow.join(pairs.select("g").union(pairs.select("h")).distinct(), "g", "left_semi"))
+    both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
+    shared = F.size(F.array_intersect("prefix", "prefix2")) + F.size("prefix") - F.size(F.array_distinct("prefix"))
+    reach = shared + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
+    pairs = both.where(reach >= need).select("g", "h")
+    left, right = members.select("g", F.col("node").alias("x")), members.select(F.col("g").alias("h"), F.col("node").alias("y"))
+    return ws.table(pairs.join(left, "g").join(right, "h").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of the links Jaccard >= percent / 100.
 
@@ -200,138 +282,89 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    whole = 100 + percent
 
     tallies = docs.select("text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     heavy = tallies.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
     order = heavy["token"].to_numpy().view(np.uint64)
     by = np.argsort(order)
-    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order[by], heavy["n"].to_numpy()[by]), "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>"))
+    order, weight = order[by], heavy["n"].to_numpy()[by]
+    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order, weight), "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>"))
 
     known = sketches.where("n > 0 and doc_id is not null")
     nodes = ws.table(known.groupBy("n", "f1", "f2", "h1", "h2").agg(F.min("doc_id").alias("node")))
-    groups = ws.table(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"), ((F.min("f1") != F.max("f1")) | (F.min("f2") != F.max("f2"))).alias("several")))
-    members = ws.table(nodes.select("node", "n", "h1", "h2").join(groups.select("n", "h1", "h2", "g"), ["n", "h1", "h2"]).select("g", "node", "n"))
-    spread = groups.select("g", "n", "several", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bool_or("several").alias("several")).where("m > 1")
-    shared = shared.select("token", ((F.col("m") > SHORT) | F.col("several")).alias("long"))
-    postings = ws.table(spread.drop("several").join(shared.hint("shuffle_hash"), "token"))
-    size = postings.count() + members.where("g <> node").count()
-
-    labels: DataFrame | None = None  # (node, c) of nodes with a link
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    spared = 0  # nodes whose label isn't their own
-
-    need = F.expr(f"cast(ceil({percent} * (n + n2) / {100 + percent}.0D - 1e-9) as long)")
-    fits = (F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")) & (F.col("pos") < F.col("n") - need + 1) & (F.col("pos2") < F.col("n2") - need + 1)
-
-    def now() -> tuple[DataFrame, DataFrame]:
-        """(g, n, lo, hi): the least and greatest component of a group's members; and members with theirs."""
-        own = members if labels is None else members.join(labels, "node", "left")
-        own = own.select("g", "n", "node", (F.col("node") if labels is None else F.coalesce("c", "node")).alias("c"))
-        return own.groupBy("g").agg(F.first("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")), own
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs (g, h) of groups whose shared prefix shingles leave the threshold within reach."""
-        pairs = ws.table(pairs)
-        # 32-bit hashes of the prefixes do: those that collide inside a prefix are added, so it stays a bound
-        narrow = groups.select("g", "n", F.transform("prefix", lambda t: F.hash(t)).alias("prefix"))
-        some = ws.table(_among(narrow, pairs.select("g").union(pairs.select("h")).distinct(), "g"))
-        both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
-        shared = F.size(F.array_intersect("prefix", "prefix2")) + F.size("prefix") - F.size(F.array_distinct("prefix"))
-        reach = shared + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
-        return both.where(reach >= need).select("g", "h")
-
-    def verify(pairs: DataFrame) -> tuple[int, int]:
-        """Compare the untested node pairs (x, y), and merge what links: comparisons, and components fewer."""
-        nonlocal tested, links, labels, spared
-        fresh = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        if tested is not None:
-            fresh = fresh.join(tested, ["x", "y"], "left_anti")
-        fresh = ws.table(fresh)
-        ids = ws.table(fresh.select(F.col("x").alias("doc_id")).union(fresh.select("y")).distinct())
-        sets = ws.table(_whole_sets(docs, ids, k))
-        one = fresh.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("s")), "x")
-        two = one.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("s2")), "y")
-        found = ws.table(two.select("x", "y", "s", "s2").mapInArrow(_linked(percent), "x long, y long").distinct())
-        ws.drop(sets, ids)
-        tested = fresh if tested is None else ws.table(tested.union(fresh))
-        links = found if links is None else ws.table(links.union(found))
-        labels = ws.table(_near_labels(links))
-        was, spared = spared, labels.where("node <> c").count()
-        return fresh.count(), spared - was
-
-    # Short postings, whose groups have one member each: their pairs are few for each row, and all are compared.
-    short = postings.where("not long")
-    other = short.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    pairs = short.join(other, (short["token"] == other["token"]) & (F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
-    waiting = bounded(pairs).select(F.col("g").alias("x"), F.col("h").alias("y"))  # compared with the next pairs
-    postings = ws.table(postings.where("long").select("token", "g", "pos"))
-
-    turn, gained, enough, at_table = 0, True, None, None
-    while True:
-        span, own = now()
-        span = ws.table(span)
-        at = postings.select("token", "g", "pos").join(span, "g")
-        # pairs of different components that a full enumeration would form
-        share = at.groupBy("token", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")).agg(F.count(F.lit(1)).alias("m"))
-        share = share.groupBy("token").agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("m"))).alias("most"), F.sum("m").alias("m"), F.sum(F.when(F.col("c").isNotNull(), F.col("m") * F.col("m")).otherwise(F.col("m"))).alias("same"))
-        live = ws.table(share.where("m * m > same"))
-        inner = span.where("lo < hi").select("g")
-        groups_open = own.join(inner, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-        still = (live.agg(F.sum(F.expr("(m * m - same) div 2"))).first()[0] or 0) + (groups_open.agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0] or 0)
-        if not still:
-            if waiting is not None:
-                verify(waiting)
+    groups = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"))
+    several = nodes.groupBy("n", "h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    groups = ws.table(groups.join(several, ["n", "h1", "h2"], "left").withColumn("m", F.coalesce("m", F.lit(1))))
+    members = ws.table(nodes.join(groups.select("n", "h1", "h2", "g", "m"), ["n", "h1", "h2"]).select("g", "node", "n", "m"))
+    spread = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("m")).where("groups > 1")
+    shared = shared.select("token", (F.col("m") > SHORT).alias("long"))
+    postings = ws.table(spread.drop("m").join(shared.hint("shuffle_hash"), "token"))
+
+    links: list[DataFrame] = []  # (x, y), x < y
+    candidates = [_group_pairs(ws, postings.where("not long"), groups, members, percent)]
+
+    # (key, x, n, d, pos, s, t) of the long postings and of groups with several members, whose centre is empty
+    own = members.select("g", F.col("node").alias("x"), "n")
+    by_token = postings.where("long").select(F.col("token").alias("key"), "g", F.col("pos").cast("long").alias("pos")).join(own, "g").select("key", "x", "n", "pos")
+    by_group = members.where("m > 1").select(F.xxhash64("g", F.lit("group")).alias("key"), F.col("node").alias("x"), "n", F.lit(0).cast("long").alias("pos"))
+    rows = ws.table(by_token.unionByName(by_group).select("key", "x", "n", F.col("n").alias("d"), "pos", (percent * F.col("n")).alias("s"), F.lit(0).cast("long").alias("t")))
+    sets, labels, turn = None, None, 0
+    while not rows.isEmpty():
+        at = rows.withColumn("c", F.col("x")) if labels is None else rows.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        keys = at.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("all"))
+        keys = ws.table(keys.where("m > 1 and lo < hi").select("key", "m", "all"))
+        at = ws.table(at.join(keys.select("key", "m"), "key"))
+        big = keys.where(F.col("m") > SMALL)
+        # of postings with the same rows one is enough
+        classes = ws.table(big.join(big.groupBy("m", "all").agg(F.min("key").alias("rep")), ["m", "all"]).select("key", "m", "rep"))
+        few, rows = at.where(F.col("m") <= SMALL), None
+        if not classes.isEmpty():
+            asked = ws.table(at.select("key", "x").join(classes.where("key = rep").select("key"), "key"))
+            if sets is None:
+                sets = ws.table(_whole_sets(docs, ws.table(asked.select(F.col("x").alias("doc_id")).distinct()), k).select(F.col("doc_id").alias("x"), "set").dropDuplicates(["x"]))
+            lot = F.struct(F.xxhash64(F.lit(turn), F.lit("lot"), "x").alias("o"), "x")
+            sample = asked.groupBy("key", F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(SAMPLE)).alias("slot")).agg(F.min(lot)["x"].alias("x"))
+            centres = ws.table(sample.select("key", "x").join(sets, "x").select("key", "set").groupBy("key").applyInArrow(_majority, "key long, centre long, set binary"))
+            of_key = classes.join(centres.select(F.col("key").alias("rep"), "centre"), "rep")
+            pairs = asked.join(centres.select("key", "centre"), "key").select("centre", "x").distinct()
+            pairs = pairs.join(centres.groupBy("centre").agg(F.first("set").alias("core")), "centre").join(sets, "x").select("centre", "x", "core", "set")
+            found = ws.table(pairs.mapInArrow(_differences(percent, order, weight), "centre long, x long, n long, d long, s long, t long, least long, tokens array<long>"))
+            nearest = found.groupBy("centre").agg(F.min(F.struct("s", "x")).alias("o")).select("centre", F.col("o.s").alias("s0"), F.col("o.x").alias("x0"))
+            sure = F.col("s") + F.col("s0") <= F.col("t")
+            slack = F.when(sure, F.col("s") - F.col("s0") + 1).otherwise(F.col("s") + F.col("s0") - F.col("t"))
+            need = F.greatest(F.lit(1).cast("long"), F.col("least"), F.ceil(slack / whole))
+            found = ws.table(found.join(nearest, "centre").select("centre", "x", "n", "d", "s", "t", "x0", sure.alias("sure"), F.slice("tokens", 1, F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")).alias("tokens")))
+            links.append(ws.table(found.where("sure and x <> x0").select(F.least("x", "x0").alias("x"), F.greatest("x", "x0").alias("y")).distinct()))
+            filled = found.groupBy("centre").agg(F.sum(F.size("tokens")).alias("rows"))
+            costs = of_key.groupBy("centre").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs")).join(filled, "centre")
+            dear = costs.where("rows >= pairs").select("centre")
+            few = few.unionByName(at.join(of_key.join(dear, "centre").select("key"), "key", "left_semi"))
+            fresh = found.join(dear, "centre", "left_anti").select("centre", "x", "n", "d", "s", "t", F.posexplode("tokens").alias("pos", "token"))
+            rows = ws.table(fresh.select(F.xxhash64("centre", "token").alias("key"), "x", "n", "d", F.col("pos").cast("long").alias("pos"), "s", "t"))
+        other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "d", "pos", "s", "c")])
+        fits = F.expr(f"x < x2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {whole} * least(d - pos, d2 - pos2) >= s + s2 - t")
+        candidates.append(ws.table(few.join(other, "key").where(fits).select("x", F.col("x2").alias("y")).distinct()))
+        if rows is None:
             break
-        # components only grow, so a posting without open pairs never has any again
-        last, at = at_table, ws.table(at.join(live.select("token", "most"), "token"))
-        if last is not None:
-            ws.drop(last)
-        at_table, postings = at, at.select("token", "g", "pos")
-        if still > size and gained:
-            # One leader for each posting, so pairs are as many as rows. At first any group, so that the
-            # same few lead everywhere; later one of the posting's largest component, in turn that of
-            # which the greatest part of the comparisons linked (the text that the others vary) and
-            # any other.
-            few = F.col("token") if turn else F.pmod(F.col("token"), F.lit(LEADERS))
-            lot = [F.xxhash64(F.lit(turn), few, F.col("g")).alias("r")]
-            among = at
-            if turn:
-                lot = [((F.col("lo") != F.col("most")) | (F.col("hi") != F.col("most"))).alias("far"), *lot]
-            if turn % 2:
-                ends = lambda df, one: df.select(F.explode(F.array("x", "y")).alias("g"), F.lit(one).alias("one"))
-                part = ends(tested, 0).unionByName(ends(links, 1)).groupBy("g").agg((F.sum("one") / (F.sum(1 - F.col("one")) + 2)).alias("part"))
-                among = at.join(part, "g", "left")
-                lot = [lot[0], (-F.coalesce("part", F.lit(0.0))).alias("part"), lot[1]]
-            lot = F.struct(*lot)
-            lead = among.groupBy("token").agg(F.min(F.struct(lot.alias("o"), "g", "n", "pos", "lo", "hi")).alias("l"))
-            lead = lead.select("token", F.col("l.g").alias("h"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
-            pairs = at.join(lead, "token").where((F.col("g") != F.col("h")) & fits & F.expr("not (lo = hi and lo2 = hi2 and lo = lo2)"))
-            pairs = bounded(pairs.select("g", "h").distinct())
-            heads = members.groupBy("g").agg(F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("head"))
-            across = pairs.join(own, "g").join(heads.select(F.col("g").alias("h"), F.col("head").alias("y")), "h").select(F.col("node").alias("x"), "y")
-            within = own.join(inner, "g", "left_semi").join(heads, "g").select(F.col("node").alias("x"), F.col("head").alias("y"))
-            asked, joined = verify(across.union(within) if waiting is None else across.union(within).union(waiting))
-            waiting = None
-            enough = WORTH * asked if enough is None else enough
-            gained = joined >= enough
-            turn += 1
-            continue
-        other = at.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = at.join(other, (at["token"] == other["token"]) & (F.col("g") < F.col("h")) & fits & F.expr("not (lo = hi and lo2 = hi2 and lo = lo2)"))
-        pairs = bounded(pairs.select("g", "h").distinct())
-        left = own.select("g", F.col("node").alias("x"), F.col("c").alias("cx"))
-        right = own.select(F.col("g").alias("h"), F.col("node").alias("y"), F.col("c").alias("cy"))
-        across = pairs.join(left, "g").join(right, "h").where("cx <> cy").select("x", "y")
-        mixed = left.join(inner, "g", "left_semi")
-        within = mixed.join(right, (F.col("g") == F.col("h")) & F.expr("x < y and cx <> cy")).select("x", "y")
-        verify(across.union(within) if waiting is None else across.union(within).union(waiting))
-        break
-
-    labels = None if links is None else connected_components(ws, links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
-    ends = nodes.select("n", "f1", "f2", "node")
-    ends = ends.withColumn("c", F.col("node")) if labels is None else ends.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        labels = ws.table(_near_labels(_all(links)))
+        turn += 1
+
+    pairs = _all(candidates).distinct()
+    if labels is not None:
+        for end in ("x", "y"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end, "left")
+        pairs = pairs.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
+    pairs = ws.table(pairs)
+    ids = ws.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
+    whole_sets = ws.table(_whole_sets(docs, ids, k))
+    one = pairs.join(whole_sets.select(F.col("doc_id").alias("x"), F.col("set").alias("s")), "x")
+    two = one.join(whole_sets.select(F.col("doc_id").alias("y"), F.col("set").alias("s2")), "y")
+    links.append(ws.table(two.select("x", "y", "s", "s2").mapInArrow(_linked(percent), "x long, y long").distinct()))
+
+    labels = connected_components(ws, _all(links), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
+    ends = nodes.select("n", "f1", "f2", "node").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
     linked = known.select("doc_id", "n", "f1", "f2").join(ends.select("n", "f1", "f2", "c"), ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     alone = sketches.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loam.llm import ann, embedding_dedup, jaccard_join
 from loam.llm.common import Workspace
 from loam.llm.components import connected_components
+from loam.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,12 +77,16 @@ def variants(seed, n, words, edits):
     return out
 
 
-def test_jaccard_of_large_groups(spark):
-    """A cluster of many variants, copies of one text, and a passage that unlike texts share."""
-    texts = variants(1, 150, 120, 9) + ["one text of a few words that many copy"] * 120
+@pytest.mark.parametrize(("short", "small", "ordered"), [(8, 32, 200_000), (1, 2, 200_000), (1, 4, 1)])
+def test_jaccard_of_large_groups(spark, monkeypatch, short, small, ordered):
+    """A cluster of many variants, copies of one text, and passages that texts share which link or just don't."""
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "ORDERED", ordered)
+    texts = variants(1, 150, 120, 9) + variants(8, 90, 40, 4) + ["one text of a few words that many copy"] * 120
     passage = " ".join(f"p{i}" for i in range(60))
     texts += [passage + " " + " ".join(f"q{i}.{j}" for j in range(30)) for i in range(60)]
-    texts += [passage + " " + " ".join(f"r{i}.{j}" for j in range(4)) for i in range(60)]
+    texts += [passage + " " + " ".join(f"r{i}.{j}" for j in range(4 + i % 6)) for i in range(90)]
     rows = list(enumerate(texts))
     random.Random(2).shuffle(rows)
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 4, 85).collect()}
@@ -87,12 +94,24 @@ def test_jaccard_of_large_groups(spark):
 
 
 def test_groups_of_one_prefix(spark, monkeypatch):
-    """Texts of one size and prefix whose tails differ: members of a group are compared too."""
-    monkeypatch.setattr(jaccard_join, "prefix_length", lambda n, percent: min(n, 1))
-    monkeypatch.setattr(jaccard_join, "_sketch", jaccard_join._sketch)
-    rows = [(i, t) for i, t in enumerate(variants(3, 20, 40, 3) + ["same same same same", "same same same same"])]
+    """Texts of one size and prefix whose tails differ are members of one group, and compared with each other."""
+    monkeypatch.setattr(jaccard_join, "ORDERED", 1)  # so that hashes alone order shingles
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        text = list(base)
+        at = rng.randrange(60)
+        for j in range(1 + rng.randrange(2)):
+            text[at + 5 * j] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    sets = list(shingle_sets(pa.array(texts), 4))
+    prefixes = Counter((len(s), s[: jaccard_join.prefix_length(len(s), 85)].tobytes()) for s in {s.tobytes(): s for s in sets}.values())
+    assert max(prefixes.values()) > 4  # more than SMALL
+    rows = list(enumerate(texts))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
-    assert got[20] == got[21] == 20
+    assert got == by_force(rows, 4, 85)
 
 
 def test_jaccard_edges(spark):
