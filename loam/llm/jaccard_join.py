@@ -6,9 +6,10 @@ shingle within their prefixes, the first ``n - ceil(t n) + 1`` shingles. Nodes o
 prefix form one *group*; the join runs on groups:
 
 1. postings ``(shingle, group, size, position)`` for the shingles that several groups' prefixes hold;
-2. group pairs that share a posting pass the size filter, the pair's own prefix lengths, and a bound
-   on the overlap from the number of shared prefix shingles;
-3. surviving group pairs are expanded to their members, whose whole sets are compared exactly.
+2. group pairs that share a posting pass the size filter and the pair's own prefix lengths;
+3. surviving group pairs are expanded to their members. Each set has ``PARITY`` bits that say whether an
+   odd number of its shingles hashes there: sets differ by as many shingles at least as bits. Pairs for
+   which that leaves the threshold within reach are compared exactly, by their whole sets.
 
 Pairs of postings of at most ``SHORT`` nodes are formed so. In longer ones, and within groups, the
 pairs would grow with the square of a cluster. They are *recentred* instead. The centre L of a posting is the
@@ -54,7 +55,9 @@ ORDERED = 200_000
 STRETCH, LOCAL = 2_000_000, 3
 _SALT = np.uint64(0x632BE59BD9B4E019)
 #: Bits of the largest bitmap that spares texts a shuffle (8 MB), and its bits for each id.
-BITS, SPREAD = 1 << 26, 8
+BITS, SPREAD = 1 << 26, 32
+#: Bits of a set's parities.
+PARITY = 1024
 #: Nodes of a posting whose group pairs are formed at once, and rows of one that isn't recentred.
 SHORT, SMALL = 8, 32
 #: Sets whose majority is a centre.
@@ -98,7 +101,7 @@ def _weights(s: np.ndarray, order: np.ndarray, weight: np.ndarray) -> np.ndarray
 
 
 def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
-    """doc_id, size, 128-bit fingerprint and ordered prefix of each text's set."""
+    """doc_id, size, 128-bit fingerprint, ordered prefix (with a fingerprint) and parities of each text's set."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
         want = prefix_length(len(s), percent)
@@ -111,9 +114,10 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, h1, h2, prefixes, at = [], [], [], [], [], [], [0]
+            sizes, one, two, h1, h2, prefixes, odd, at = [], [], [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
+                odd.append(np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(bool)))
                 one.append(s.sum(dtype=np.uint64))
                 two.append(mix(s + _SALT).sum(dtype=np.uint64))
                 prefixes.append(prefix(s) if len(s) else s)
@@ -127,8 +131,9 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
                     pa.array(np.array(sizes, np.int64)),
                     *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two, h1, h2)],
                     pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(flat.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate([np.zeros(0, np.uint8), *odd]).view(np.int64))),
                 ],
-                names=["doc_id", "n", "f1", "f2", "h1", "h2", "prefix"],
+                names=["doc_id", "n", "f1", "f2", "h1", "h2", "prefix", "odd"],
             )
 
     return sketch
@@ -145,25 +150,28 @@ def _bitmap(slots: DataFrame, size: int) -> np.ndarray:
 def _among(df: DataFrame, ids: DataFrame, column: str, build, schema: str) -> DataFrame:
     """df's rows whose ``column`` is among ids (distinct), as ``build`` turns their batches.
 
-    Up to BITS / SPREAD ids rows are filtered where they lie, by a bitmap of hashes in the same Python
-    worker that builds; the few others that share a bit come along and find no partner in the joins that
-    follow. Beyond, a bitmap would fill up, and the rows are joined.
+    Up to BITS / SPREAD ids rows are filtered where they lie, by a Bloom filter in the same Python worker
+    that builds; the few others that pass come along and find no partner in the joins that follow.
+    Beyond, the filter would fill up, and the rows are joined.
     """
     n = ids.count()
     if n > BITS // SPREAD:
         return df.join(ids.select(column), column, "left_semi").select(df.columns).mapInArrow(lambda batches: map(build, batches), schema)
     size = max(1 << 16, 1 << (max(1, n) * SPREAD - 1).bit_length())
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(ids.select(slot(column).alias("s")), size)), df.columns
+    slot = lambda turn: F.pmod(F.xxhash64(column, F.lit(turn)), F.lit(size))
+    slots = ids.select(F.explode(F.array(slot(0), slot(1))).alias("s"))
+    bits, columns = df.sparkSession.sparkContext.broadcast(_bitmap(slots, size)), df.columns
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            keep = (bits.value[at >> 6] >> (at & 63)) & 1 == 1
+            keep = np.ones(batch.num_rows, bool)
+            for turn in (1, 2):
+                at = batch.column(batch.num_columns - turn).to_numpy()
+                keep &= (bits.value[at >> 6] >> (at & 63)) & 1 == 1
             if keep.any():
                 yield build(batch.select(columns).filter(pa.array(keep)))
 
-    return df.withColumn("_slot", slot(column)).mapInArrow(sift, schema)
+    return df.withColumn("_slot0", slot(0)).withColumn("_slot1", slot(1)).mapInArrow(sift, schema)
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -257,21 +265,23 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _group_pairs(ws: Workspace, postings: DataFrame, groups: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _group_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of nodes whose groups share a posting and pass the filters."""
     need = F.expr(f"cast(ceil({percent} * (n + n2) / {100 + percent}.0D - 1e-9) as long)")
     fits = (F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")) & (F.col("pos") < F.col("n") - need + 1) & (F.col("pos2") < F.col("n2") - need + 1)
     other = postings.select("token", F.col("g").alias("h"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    pairs = ws.table(postings.join(other, "token").where((F.col("g") < F.col("h")) & fits).select("g", "h").distinct())
-    # 32-bit hashes of the prefixes do: those that collide inside a prefix are added, so it stays a bound
-    narrow = groups.select("g", "n", F.transform("prefix", lambda t: F.hash(t)).alias("prefix"))
-    some = ws.table(narrow.join(pairs.select("g").union(pairs.select("h")).distinct(), "g", "left_semi"))
-    both = pairs.join(some, "g").join(some.select(F.col("g").alias("h"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "h")
-    shared = F.size(F.array_intersect("prefix", "prefix2")) + F.size("prefix") - F.size(F.array_distinct("prefix"))
-    reach = shared + F.greatest(F.col("n") - F.size("prefix"), F.col("n2") - F.size("prefix2"))
-    pairs = both.where(reach >= need).select("g", "h")
+    pairs = postings.join(other, "token").where((F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
     left, right = members.select("g", F.col("node").alias("x")), members.select(F.col("g").alias("h"), F.col("node").alias("y"))
-    return ws.table(pairs.join(left, "g").join(right, "h").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    return pairs.join(left, "g").join(right, "h").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _within_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sizes and parities leave the threshold within reach."""
+    odd = sketches.select("doc_id", "n", "odd")
+    one = pairs.join(odd.select(F.col("doc_id").alias("x"), "n", "odd"), "x")
+    two = one.join(odd.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("odd").alias("odd2")), "y")
+    differ = F.aggregate(F.zip_with("odd", "odd2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda sum_, bits: sum_ + bits)
+    return two.where((100 + percent) * (F.col("n") + F.col("n2") - differ) >= 2 * percent * (F.col("n") + F.col("n2"))).select("x", "y").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -289,7 +299,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     order = heavy["token"].to_numpy().view(np.uint64)
     by = np.argsort(order)
     order, weight = order[by], heavy["n"].to_numpy()[by]
-    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order, weight), "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>"))
+    sketches = ws.table(docs.mapInArrow(_sketch(k, percent, order, weight), "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>, odd array<long>"))
 
     known = sketches.where("n > 0 and doc_id is not null")
     nodes = ws.table(known.groupBy("n", "f1", "f2", "h1", "h2").agg(F.min("doc_id").alias("node")))
@@ -298,16 +308,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     groups = ws.table(groups.join(several, ["n", "h1", "h2"], "left").withColumn("m", F.coalesce("m", F.lit(1))))
     members = ws.table(nodes.join(groups.select("n", "h1", "h2", "g", "m"), ["n", "h1", "h2"]).select("g", "node", "n", "m"))
     spread = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("m")).where("groups > 1")
-    shared = shared.select("token", (F.col("m") > SHORT).alias("long"))
-    postings = ws.table(spread.drop("m").join(shared.hint("shuffle_hash"), "token"))
+    # one number, to shuffle less: groups in the high half, nodes in the low one
+    shared = spread.groupBy("token").agg(F.sum(F.expr("(1L << 32) + least(m, 1000)")).alias("held")).where(F.expr("held >> 32 > 1"))
+    shared = shared.select("token", (F.col("held") % (1 << 32) > SHORT).alias("long"))
+    at = spread.select("token", "g", F.expr("(n << 32) + pos").alias("place")).join(shared.hint("shuffle_hash"), "token")
+    postings = ws.table(at.select("token", "g", F.expr("place >> 32").alias("n"), F.expr("place % (1L << 32)").alias("pos"), "long"))
 
     links: list[DataFrame] = []  # (x, y), x < y
-    candidates = [_group_pairs(ws, postings.where("not long"), groups, members, percent)]
+    candidates = [ws.table(_group_pairs(postings.where("not long"), members, percent))]
 
     # (key, x, n, d, pos, s, t) of the long postings and of groups with several members, whose centre is empty
     own = members.select("g", F.col("node").alias("x"), "n")
-    by_token = postings.where("long").select(F.col("token").alias("key"), "g", F.col("pos").cast("long").alias("pos")).join(own, "g").select("key", "x", "n", "pos")
+    by_token = postings.where("long").select(F.col("token").alias("key"), "g", "pos").join(own, "g").select("key", "x", "n", "pos")
     by_group = members.where("m > 1").select(F.xxhash64("g", F.lit("group")).alias("key"), F.col("node").alias("x"), "n", F.lit(0).cast("long").alias("pos"))
     rows = ws.table(by_token.unionByName(by_group).select("key", "x", "n", F.col("n").alias("d"), "pos", (percent * F.col("n")).alias("s"), F.lit(0).cast("long").alias("t")))
     sets, labels, turn = None, None, 0
@@ -342,7 +354,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             dear = costs.where("rows >= pairs").select("centre")
             few = few.unionByName(at.join(of_key.join(dear, "centre").select("key"), "key", "left_semi"))
             fresh = found.join(dear, "centre", "left_anti").select("centre", "x", "n", "d", "s", "t", F.posexplode("tokens").alias("pos", "token"))
-            rows = ws.table(fresh.select(F.xxhash64("centre", "token").alias("key"), "x", "n", "d", F.col("pos").cast("long").alias("pos"), "s", "t"))
+            fresh = ws.table(fresh.select(F.xxhash64("centre", "token").alias("key"), "x", "n", "d", F.col("pos").cast("long").alias("pos"), "s", "t"))
+            rows = ws.table(fresh.join(fresh.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
         other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "d", "pos", "s", "c")])
         fits = F.expr(f"x < x2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {whole} * least(d - pos, d2 - pos2) >= s + s2 - t")
         candidates.append(ws.table(few.join(other, "key").where(fits).select("x", F.col("x2").alias("y")).distinct()))
@@ -356,7 +369,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for end in ("x", "y"):
             pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end, "left")
         pairs = pairs.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-    pairs = ws.table(pairs)
+    pairs = ws.table(_within_reach(ws.table(pairs), sketches, percent))
     ids = ws.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
     whole_sets = ws.table(_whole_sets(docs, ids, k))
     one = pairs.join(whole_sets.select(F.col("doc_id").alias("x"), F.col("set").alias("s")), "x")
