@@ -7,7 +7,8 @@ labels of a bounded sample train a linear scorer on hashed features of the text,
 every document: ``keep`` where its probability of clean is at least ``KEEP``.
 
 The driver sees one row for each vote pattern, at most 3 ** 10, and the sample's hashed features, at
-most ``SAMPLE`` documents (those with the least hashes of doc_id) of ``MOST`` features each.
+most ``SAMPLE`` documents (those with the least hashes of doc_id) of ``SLOTS`` features each.
+Every word of a text counts, by its whole shape.
 
 Documents that are null, empty or without a word have score 0 and are rejected. Repeated rows are
 judged alike. In an empty table, or one without a vote, nothing is trained and every text with a word
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from loam.llm.common import small_batches
 
-SAMPLE, MOST, SLOTS, KEEP = 20_000, 96, 1 << 12, 0.5
+SAMPLE, SLOTS, KEEP = 20_000, 1 << 12, 0.5
 ROUNDS, STEPS, RATE, DECAY = 100, 400, 2.0, 1e-5
 
 _CLASS = bytearray(range(256))
@@ -103,8 +104,8 @@ def features(m: Measures) -> dict[int, float]:
         slot = h % SLOTS
         out[slot] = out.get(slot, 0.0) + (value if h >> 31 else -value)
 
-    for shape, count in m.shapes.most_common(MOST - 32):
-        add(b"shape:" + shape[:24], count / m.n)
+    for shape, count in m.shapes.items():
+        add(b"shape:" + shape, count / m.n)
     for name in ("upper", "odd", "bare", "decked", "distinct", "most", "again", "letters", "wordlike"):
         value = getattr(m, name)
         add(f"{name}:{int(10 * value) if value >= 0 else 'none'}".encode(), 1.0)
