@@ -21,7 +21,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -40,32 +39,39 @@ for _i in range(256):
     _CLASS[_i] = ord("a") if _c in "abcdefghijklmnopqrstuvwxyz" or _i >= 128 else ord("A") if "A" <= _c <= "Z" else ord("0") if "0" <= _c <= "9" else _i
 _CLASS = bytes(_CLASS)
 _RUN = re.compile(rb"([aA0])\1+")
-_ODD = re.compile(rb"[^\sA-Za-z0-9\x80-\xff.,;:'\"()?!-]")
+_BLANK = b" \t\n\r\x0b\x0c"
+_PLAIN = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum()) + _BLANK + b".,;:'\"()?!-"
 #: How far back a word's repetition is looked for.
 BACK = (1, 2, 3, 5)
 
 
+def _odd(raw: bytes) -> int:
+    return len(raw.translate(None, _PLAIN))
+
+
 class Measures:
     """What heuristics and features read of a text with at least one word."""
 
-    def __init__(self, text: str):
-        raw = text.encode("utf-8", "surrogatepass")
-        words = raw.split()
-        n = len(words)
+    def __init__(self, raw: bytes, words: list[bytes]):
+        n, total = len(words), len(raw.translate(None, _BLANK))
+        often = Counter(words)
         self.n = n
         kinds = raw.translate(_CLASS)
         letters = kinds.count(b"a") + kinds.count(b"A")
-        self.letters = letters / max(1, sum(map(len, words)))
+        self.letters = letters / total
         self.upper = kinds.count(b"A") / max(1, letters) if letters >= 20 else -1.0
-        self.odd = len(_ODD.findall(raw)) / max(1, len(raw))
-        self.shapes = Counter(_RUN.sub(rb"\1", kinds).split())
+        self.odd = _odd(raw) / len(raw)
+        self.shapes = Counter()
+        for kind, count in Counter(kinds.split()).items():  # few, so that runs are shortened once for many words
+            self.shapes[_RUN.sub(rb"\1", kind)] += count
         self.bare = sum(c for s, c in self.shapes.items() if not (b"a" in s or b"A" in s or b"0" in s)) / n
-        self.decked = sum(c for s, c in self.shapes.items() if len(_ODD.findall(s)) >= 2 or s.endswith(b"!!")) / n
+        self.decked = sum(c for s, c in self.shapes.items() if _odd(s) >= 2 or s.endswith(b"!!")) / n
         self.wordlike = sum(c for s, c in self.shapes.items() if s.strip(b".,;:!?'\"()-") in (b"a", b"Aa")) / n
-        self.distinct = len(set(words)) / n
-        self.most = Counter(words).most_common(1)[0][1] / n
-        self.again = max((sum(map(eq, words, words[b:])) / n for b in BACK if n > b), default=0.0)
-        self.mean = sum(map(len, words)) / n
+        self.distinct = len(often) / n
+        self.most = max(often.values()) / n
+        same = np.fromiter(map(hash, words), np.int64, n)
+        self.again = max((int(np.count_nonzero(same[b:] == same[:-b])) / n for b in BACK if n > b), default=0.0)
+        self.mean = total / n
 
 
 CLEAN, JUNK, NONE = 1, 0, 2
@@ -115,7 +121,11 @@ def features(m: Measures) -> dict[int, float]:
 
 
 def _measured(text: str | None) -> Measures | None:
-    return Measures(text) if text and text.split() and text.encode("utf-8", "surrogatepass").split() else None
+    if not text or text.isspace():
+        return None
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    return Measures(raw, words) if words else None
 
 
 #: Kinds of junk that heuristics know, by their place: markup and symbols, shouting, repetition.
@@ -183,13 +193,16 @@ class Quality:
 
     def __init__(self, prior: np.ndarray, rates: np.ndarray, weights: np.ndarray | None):
         self.prior, self.rates, self.weights = prior, rates, weights
+        self.weak: dict[tuple[int, ...], float] = {}  # by pattern of votes, 3 ** 10 at most
 
     def judge(self, text: str | None) -> tuple[float, float]:
         """(weak label, score) of a text."""
         m = _measured(text)
         if m is None:
             return 0.0, 0.0
-        weak = float(posterior(np.array([votes(m)]), self.prior, self.rates)[0])
+        pattern = votes(m)
+        if (weak := self.weak.get(pattern)) is None:
+            weak = self.weak[pattern] = float(posterior(np.array([pattern]), self.prior, self.rates)[0])
         if self.weights is None:
             return weak, 0.5
         f = features(m)
