@@ -40,7 +40,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    found = LETTERS.findall(text.lower())
+    if not "".join(found).isalpha() and found:  # numerals such as fractions and superscripts, which \w also takes, separate words
+        found = ["".join(c if c.isalpha() else " " for c in w).split() for w in found]
+        found = [w for part in found for w in part]
+    return found
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -38,10 +38,11 @@ def test_language_edges(spark):
     rows = [("en", "the cat and the dog"), ("fr", "le chat et le chien"), (None, "xyz"), ("en", None), ("de", "123")]
     model = L.train(spark.createDataFrame(rows, "lang string, text string"))
     assert model.langs == ["en", "fr"]
-    asked = [(1, "The dog"), (2, "chien"), (3, None), (4, ""), (5, "12 !!"), (6, "chatte"), (7, "ж"), (8, "the " * 50_000), (None, "le")]
+    asked = [(1, "The dog"), (2, "chien"), (3, None), (4, ""), (5, "12 !!"), (6, "chatte"), (7, "ж"), (8, "the " * 50_000), (9, "½ ² ⅷ ①"), (None, "le")]
     df = spark.createDataFrame(asked, "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.predict(df, model, "doc_id").collect()}
     assert [got[i][0] for i in (1, 2, 3, 4, 5, 6, 8, None)] == ["en", "fr", "und", "und", "und", "fr", "en", "fr"]
+    assert got[9] == ("und", 0.0) and L.words("The½dog x² ⅷ") == ["the", "dog", "x"]
     assert got[3][1] == got[5][1] == 0.0 and got[7][0] in ("en", "fr")
     kept = L.identified(df, model)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= {1, 2, 6, 8, None}
@@ -77,6 +78,12 @@ def test_quality_against_labels(spark, docs):
     assert np.mean(clean) >= 0.98 and np.mean(junk) >= 0.9
 
 
+def test_every_shape_is_a_feature():
+    texts = [" ".join("#" * (1 + i % 30) + "a!" * (1 + i // 30) for i in range(200)), "x" + "#" * 40, "x" + "#" * 41]
+    many, one, other = (Q.features(Q._measured(t)) for t in texts)
+    assert len(many) > 150 and one != other
+
+
 def test_quality_edges(spark, docs):
     model = Q.train(docs)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "A plain sentence of plain words, as any."), (5, "A!! B!! " * 200), (6, "word " * 100_000), (None, "x"), (7, "\x1c")]
