@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loam.llm import jaccard_join, language_id, mixing, packing, quality
 from loam.llm.common import Workspace
 
-#: No SQL: two stages apply trained models. tests/llm/test_pipeline.py holds each stage against plain Python.
+#: No SQL: two stages apply trained models. tests/llm/test_models.py tests the stages.
 ORACLE_SQL = None
 
 
