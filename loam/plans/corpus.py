@@ -158,12 +158,12 @@ def _sql_type(instruction: str, output: str, given: str) -> str:
 @query(
     "infer_type",
     f"""SELECT instruction, output, {_sql_type("instruction", "output", "given")} AS kind FROM (
-    SELECT substr(split_part(text, chr(10), 1), 1, 80) AS instruction, substr(text, 1, 200) AS output, CAST(NULL AS VARCHAR) AS given FROM documents
+    SELECT split_part(text, chr(10), 1) AS instruction, text AS output, CAST(NULL AS VARCHAR) AS given FROM documents
     UNION ALL SELECT * FROM ({values(PAIRS)}))""",
 )
 def infer_type(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select(F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("instruction"), F.substring("text", 1, 200).alias("output"), F.lit(None).cast("string").alias("given"))
+    rows = docs.select(F.substring_index("text", "\n", 1).alias("instruction"), F.col("text").alias("output"), F.lit(None).cast("string").alias("given"))
     rows = rows.union(spark.createDataFrame(PAIRS, "instruction string, output string, given string"))
     return rows.select("instruction", "output", C.pair_type(F.col("instruction"), F.col("output"), F.col("given")).alias("kind"))
 

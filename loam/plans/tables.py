@@ -64,14 +64,14 @@ def upsert_replace(spark, sf_dir):
     return O.upsert(labels, labels.where("doc_id % 3 = 0").withColumn("quality", (1 - F.col("quality")).cast("int")), "doc_id").select("doc_id", "quality", "toxic")
 
 
-_EDGES = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM supplier, orders JOIN customer ON o_custkey = c_custkey, lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey < 12"
+_EDGES = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM supplier, orders JOIN customer ON o_custkey = c_custkey, lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey"
 
 
 def _edges(spark, sf_dir):
     """Which nation's suppliers deliver to which nation's customers."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     met = lines.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    met = met.join(read(spark, sf_dir, "customer").where("c_nationkey < 12").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
+    met = met.join(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
     met = met.join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), F.col("l_suppkey") == F.col("s_suppkey"))
     return met.select("src", "dst").distinct()
 
