@@ -53,13 +53,29 @@ APART = re.compile(
 #: Elements that are never set apart by a class.
 WHOLE = frozenset("html body main article".split())
 
+#: What stands in a tag. It ends at a bare "<" too: quotes being only of two kinds, no character is then read from
+#: more than three tags that don't end, so the search stays linear. Such a tag ends at its first ">".
+_WITHIN = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:{_WITHIN}|[^>]*>).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_WITHIN})|<(/?)([a-zA-Z][^\s/>]*)([^>]*>)|<[!?/][^>]*>",
     re.I | re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """The tags and comments of a page. Behind its last ">" no tag can end, and only a comment is sought."""
+    last, at = page.rfind(">") + 1, 0
+    while m := TOKEN.search(page, at, last):
+        if m.end() == last and (m[1] or m[0].startswith("<!--")):
+            m = TOKEN.match(page, m.start())  # it may go on to the end
+        yield m
+        at = m.end()
+    at = page.find("<!--", max(at, last))
+    if at >= 0:
+        yield TOKEN.match(page, at)
+
+
 def _apart(name: str, attributes: str) -> bool:
     if name in ASIDE:
         return True
@@ -89,7 +105,7 @@ def _wrappers(page: str) -> set[int]:
             held.append((began[0], words - began[1], inside - began[2]))
         return name
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if m.start() > at and not asides:
             n = len(page[at : m.start()].split())
             words, inside = words + n, inside + n * (marked > 0)
@@ -122,11 +138,12 @@ def sequence(page: str) -> Iterator[tuple[str, str, bool]]:
     marked: whether it lies in an ``article`` or ``main`` element. A gap is an element set apart.
     """
     open_: list[str] = []  # block elements around
+    names: Counter = Counter()  # how often each is open
     hidden = None  # how many were open when one set apart began
     wrappers = None
     marked = 0
     at = 0
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if m.start() > at and hidden is None:
             yield "text", html.unescape(page[at : m.start()]), marked > 0
         at = m.end()
@@ -142,19 +159,25 @@ def sequence(page: str) -> Iterator[tuple[str, str, bool]]:
             yield "gap", name if name in NAMES else "other", marked > 0
             hidden = len(open_)
             open_.append(name)
+            names[name] += 1
             continue
         if name in VOID or name in INLINE:
             # An inline element set apart, as a span of class "ad", ends with its own end tag.
-            if closing and hidden is not None and name in open_[hidden:]:
-                del open_[hidden + open_[hidden:].index(name) :]
+            if closing and hidden is not None and names[name] and name in open_[hidden:]:
+                at_ = hidden + open_[hidden:].index(name)
+                names.subtract(open_[at_:])
+                del open_[at_:]
             elif not closing and hidden is not None and name in INLINE and name == open_[hidden]:
                 open_.append(name)
+                names[name] += 1
         elif not closing:
             open_.append(name)
+            names[name] += 1
             marked += name in MARKED and hidden is None
-        elif name in open_:
+        elif names[name]:
             while True:
                 last = open_.pop()
+                names[last] -= 1
                 if last in MARKED and (hidden is None or len(open_) < hidden):
                     marked -= 1
                 if last == name:

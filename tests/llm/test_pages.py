@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from loam.llm import html_extract as H
@@ -33,6 +35,14 @@ def test_odd_pages():
     assert text("<div class=ad><div>in</div>ad</div><p>body text</p>") == "body text"
 
 
+def test_broken_pages_are_read_in_one_go():
+    for broken in ("<a ", '<a ">"', "<a \"'>", "</x>", "<div>", "<!--", "<script ", "<!", "a<b "):
+        began = time.process_time()
+        text(broken * 100_000)
+        assert time.process_time() - began < 20, broken
+    assert text("a <b") == "a <b" and text("<p>x <!-- > y") == "x" and text("x<script a<b>no</script> y") == "x y"
+
+
 def test_menu_without_a_name_is_outside():
     """No element is set apart here: the scan leaves the link list out by its score."""
     links = "".join(f"<li><a href='/{i}'>w</a></li>" for i in range(20))
