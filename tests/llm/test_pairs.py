@@ -201,6 +201,22 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_every_dimension_and_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHORT", 4)
+    monkeypatch.setattr(ann, "PROBED", 0.1)
+    m = vectors(300, 8, 9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(0, [9.0 * float(x) for x in m[0]])] * 40
+    rows += [(1000 + i, [1.0, float(i)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), 50).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == [*range(0, 300, 20), 1000]
+    assert sorted(got.pop(1000)) == [1001, 1002, 1003, 1004]
+    for q, found in got.items():
+        assert len(found) == 50 and q not in found
+
+
 def test_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
