@@ -10,9 +10,10 @@ inclusion probability p and a uniform u drawn from its doc_id, and documents are
 ``(u / (1 - u)) / (p / (1 - p))``. p is the rest's share of the source; a document that would hold
 more than 1 / ``EVEN`` of the rest has it reduced in proportion, so inclusion is unequal and one long
 document seldom decides a source's sample. Documents are taken in rank order while they fit into the
-rest; ``PASSES`` passes over those left fill what a long document left open, and one document more is
-taken where that comes nearer to the target. So a sum is off by half a document at most, the one that
-comes nearest among those left.
+rest; further passes over those left fill what a long document left open, until none fits, and one document
+more is taken where that comes nearer to the target. So a sum is off by half a document at most, the one
+that comes nearest among those left. The passes after the first prefer short documents, so inclusion is a
+little above p for these; what they fill is less than the document that ended the first pass.
 
 Rank and sums come from range-partitioned running totals, so a source with a third of all rows
 spreads over as many tasks as it needs. Null texts have size 0. Reruns agree: u depends on seed and
@@ -29,7 +30,7 @@ from loam.llm.words import size_in_words
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-PASSES, EVEN, SEED = 6, 16, "loam"
+EVEN, SEED = 16, "loam"
 
 
 def targets(ws: Workspace, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -74,13 +75,13 @@ def mix(ws: Workspace, sized: DataFrame, weights=WEIGHTS, share: float = SHARE,
         met = some.join(sums, some["source"].eqNullSafe(sums["_source"]), "left")
         return met.withColumn("rest", F.col("rest") - F.coalesce("_sum", F.lit(0))).select(*some.columns)
 
-    left = fit
-    for _ in range(PASSES):
-        placed = running_totals(ws, left.where("size <= rest"), ["source"], [F.col("rank"), F.col("doc_id"), F.col("size")], "size", ("_n", "_before"))
+    left = fit.where("size <= rest")
+    while won is None or not left.isEmpty():  # each pass takes what ranks first, or drops what is too long
+        placed = running_totals(ws, left, ["source"], [F.col("rank"), F.col("doc_id"), F.col("size")], "size", ("_n", "_before"))
         placed = ws.table(placed.withColumn("taken", F.col("_before") + F.col("size") <= F.col("rest")))
         took = placed.where("taken").select(*fit.columns)
         won = took if won is None else won.unionByName(took)
-        left = ws.table(filled(placed.where("not taken").select(*fit.columns), took))
+        left = ws.table(filled(placed.where("not taken").select(*fit.columns), took).where("size <= rest"))
     # One document more where that comes nearer: the one that leaves the least, over or under.
     won = ws.table(won.select("_row", "source", "size"))
     over = filled(fit.join(won.select("_row"), "_row", "left_anti"), won).withColumn("_off", F.abs(F.col("size") - F.col("rest"))).where("_off < rest")
@@ -131,14 +132,12 @@ r AS (
   SELECT *, rest / w * CASE WHEN size > rest / 16 THEN (rest / 16) / size ELSE 1.0 END AS p FROM q
 ), k AS (
   SELECT *, CASE WHEN rest >= 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p
-), l0 AS (SELECT * FROM k WHERE rank IS NOT NULL)
-"""
-for _i in range(1, PASSES + 1):
-    ORACLE_SQL += f"""
-, a{_i} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS taken FROM l{_i - 1} WHERE size <= rest)
-, l{_i} AS (SELECT * EXCLUDE (taken) REPLACE (rest - coalesce((SELECT sum(size) FROM a{_i} b WHERE b.taken AND b.source IS NOT DISTINCT FROM a.source), 0) AS rest) FROM a{_i} a WHERE NOT taken)
-"""
-ORACLE_SQL += ", won AS (" + " UNION ALL ".join(f"SELECT doc_id, source, size FROM a{_i} WHERE taken" for _i in range(1, PASSES + 1)) + r""")
+), fill AS (
+  SELECT doc_id, source, size, rank, rest, FALSE AS taken FROM k WHERE rank IS NOT NULL
+  UNION ALL
+  SELECT doc_id, source, size, rank, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest, fits AS taken
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) <= rest AS fits FROM fill WHERE NOT taken AND size <= rest)
+), won AS (SELECT doc_id, source, size FROM fill WHERE taken)
 , o AS (SELECT doc_id, k.source, size, rank, rest - coalesce(f, 0) AS rest FROM k LEFT JOIN (SELECT source, sum(size) AS f FROM won GROUP BY source) x ON k.source IS NOT DISTINCT FROM x.source
   WHERE rank IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM won))
 , more AS (SELECT doc_id FROM won UNION ALL SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - rest), rank, doc_id) AS n FROM o WHERE abs(size - rest) < rest) WHERE n = 1)
