@@ -221,3 +221,15 @@ def test_pages_clamp(spark):
 def test_sizes(spark, n):
     want = f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
     assert spark.range(1).select(T.human_size(F.lit(n))).first()[0] == want
+
+
+def test_neighbours_in_blocks(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(90001, None), (90002, [1.0]), (90003, [None] * 64)], "vec_id long, embedding array<float>")
+    corpus = rows.unionByName(odd.select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns]))
+    asks = corpus.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    once = sorted(retrieval.knn(corpus, asks, 5).collect())
+    assert once and not {r["vec_id"] for r in once} & {90001, 90003}
+    monkeypatch.setattr(retrieval, "SMALL", 10)
+    monkeypatch.setattr(retrieval, "LOT", 50)
+    assert sorted(retrieval.knn(corpus, asks, 5).collect()) == once
