@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import Workspace
 from loam.llm.components import connected_components
-from loam.llm.shingles import mix, shingle_sets
+from loam.llm.shingles import mix, shingle_sets, text_buffers
 
 #: Shingles with a weight that are broadcast at most (16 bytes each).
 ORDERED = 200_000
@@ -64,6 +64,10 @@ SHORT, SMALL = 8, 32
 SAMPLE = 9
 #: Links that a label travels between rounds.
 STEPS = 3
+#: Parts of the shingles whose postings are formed one after the other, so that only one part is on disk at once.
+PARTS = 4
+#: Packed texts that a task opens at once.
+OPENED = 64
 
 
 def _frequent(k: int):
@@ -174,29 +178,48 @@ def _among(df: DataFrame, ids: DataFrame, column: str, build, schema: str) -> Da
     return df.withColumn("_slot0", slot(0)).withColumn("_slot1", slot(1)).mapInArrow(sift, schema)
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set) of the documents among ids: texts are filtered where they lie."""
+def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the documents among ids: texts are filtered where they lie.
+
+    A compressed text takes a third of the room of its set of hashes; the set is made again where it is compared.
+    """
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "set"])
+        data, at = text_buffers(batch.column(1))
+        codec = pa.Codec("zstd")
+        raw = [data[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        packed = [len(r).to_bytes(8, "little") + (codec.compress(r, asbytes=True) if r else b"") for r in raw]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return _among(docs.where("doc_id is not null"), ids, "doc_id", build, "doc_id long, packed binary")
+
 
-    return _among(docs.where("doc_id is not null"), ids, "doc_id", build, "doc_id long, set binary")
+def _opened(packed: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """The sets of packed texts, in order."""
+    codec = pa.Codec("zstd")
+    for i in range(0, len(packed), OPENED):
+        raw = [codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) if len(p) > 8 else b"" for p in packed[i : i + OPENED]]
+        yield from shingle_sets(pa.array(raw, pa.large_binary()).cast(pa.large_string()), k)
 
 
 def _as_set(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
 
-def _majority(sample: pa.Table) -> pa.Table:
-    """(key, centre, set) of the sampled (key, set) of one posting: what most of the sets hold."""
-    token, count = np.unique(np.concatenate([_as_set(v) for v in sample.column("set")]), return_counts=True)
-    core = token[2 * count > sample.num_rows]
-    centre = mix(mix(core).sum(dtype=np.uint64, keepdims=True) + _SALT).view(np.int64)
-    return pa.table({"key": sample.column("key")[:1], "centre": pa.array(centre), "set": pa.array([core.tobytes()], pa.binary())})
+def _majority(k: int):
+    """(key, centre, set) of the sampled (key, packed) of one posting: what most of the sets hold."""
 
+    def majority(sample: pa.Table) -> pa.Table:
+        token, count = np.unique(np.concatenate(list(_opened(sample.column("packed").to_pylist(), k))), return_counts=True)
+        core = token[2 * count > sample.num_rows]
+        centre = mix(mix(core).sum(dtype=np.uint64, keepdims=True) + _SALT).view(np.int64)
+        return pa.table({"key": sample.column("key")[:1], "centre": pa.array(centre), "set": pa.array([core.tobytes()], pa.binary())})
 
-def _differences(percent: int, order: np.ndarray, weight: np.ndarray):
-    """(centre, x, n, d, s, t, least, tokens) of rows (centre, x, centre's set, x's set).
+    return majority
+
+
+def _differences(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
+    """(centre, x, n, d, s, t, least, tokens) of rows (centre, x, centre's set, x's packed text).
 
     d: shingles of the difference; s as in the module's docstring, t what s(x) + s(y) must not exceed to
     link for certain; least: shingles of the difference that any link shares, by x's size alone; tokens:
@@ -207,8 +230,8 @@ def _differences(percent: int, order: np.ndarray, weight: np.ndarray):
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, tokens = [], []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                centre, own = _as_set(p), _as_set(q)
+            for p, own in zip(batch.column(2), _opened(batch.column(3).to_pylist(), k), strict=True):
+                centre = _as_set(p)
                 added = own[~np.isin(own, centre, assume_unique=True)]
                 lost = centre[~np.isin(centre, own, assume_unique=True)]
                 n, size, r, d = len(own), len(centre), len(lost), len(lost) + len(added)
@@ -231,14 +254,21 @@ def _differences(percent: int, order: np.ndarray, weight: np.ndarray):
     return differ
 
 
-def _linked(percent: int):
+def _linked(k: int, percent: int):
+    """The pairs (x, y) that link, of rows (x, y, x's packed text, y's); rows with one x or y lie together."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            for i in range(0, batch.num_rows, OPENED):
+                part = batch.slice(i, OPENED)
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                texts = list(dict.fromkeys(left + right))
+                sets = dict(zip(texts, _opened(texts, k), strict=True))
+                for p, q in zip(left, right, strict=True):
+                    a, b = sets[p], sets[q]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return compare
@@ -307,12 +337,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     several = nodes.groupBy("n", "h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     groups = ws.table(groups.join(several, ["n", "h1", "h2"], "left").withColumn("m", F.coalesce("m", F.lit(1))))
     members = ws.table(nodes.join(groups.select("n", "h1", "h2", "g", "m"), ["n", "h1", "h2"]).select("g", "node", "n", "m"))
+    # prefixes are in groups from here on
+    marks = ws.table(sketches.select("doc_id", "n", "f1", "f2", "odd"))
+    ws.drop(sketches)
+    known = marks.where("n > 0 and doc_id is not null")
     spread = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     # one number, to shuffle less: groups in the high half, nodes in the low one
-    shared = spread.groupBy("token").agg(F.sum(F.expr("(1L << 32) + least(m, 1000)")).alias("held")).where(F.expr("held >> 32 > 1"))
-    shared = shared.select("token", (F.col("held") % (1 << 32) > SHORT).alias("long"))
-    at = spread.select("token", "g", F.expr("(n << 32) + pos").alias("place")).join(shared.hint("shuffle_hash"), "token")
-    postings = ws.table(at.select("token", "g", F.expr("place >> 32").alias("n"), F.expr("place % (1L << 32)").alias("pos"), "long"))
+    parts = []
+    for part in range(PARTS):
+        some = spread.where(F.pmod("token", F.lit(PARTS)) == part)
+        shared = some.groupBy("token").agg(F.sum(F.expr("(1L << 32) + least(m, 1000)")).alias("held")).where(F.expr("held >> 32 > 1"))
+        shared = shared.select("token", (F.col("held") % (1 << 32) > SHORT).alias("long"))
+        at = some.select("token", "g", F.expr("(n << 32) + pos").alias("place")).join(shared.hint("shuffle_hash"), "token")
+        parts.append(ws.table(at.select("token", "g", F.expr("place >> 32").alias("n"), F.expr("place % (1L << 32)").alias("pos"), "long")))
+    postings = _all(parts)
+    ws.drop(groups)
 
     links: list[DataFrame] = []  # (x, y), x < y
     candidates = [ws.table(_group_pairs(postings.where("not long"), members, percent))]
@@ -322,32 +361,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     by_token = postings.where("long").select(F.col("token").alias("key"), "g", "pos").join(own, "g").select("key", "x", "n", "pos")
     by_group = members.where("m > 1").select(F.xxhash64("g", F.lit("group")).alias("key"), F.col("node").alias("x"), "n", F.lit(0).cast("long").alias("pos"))
     rows = ws.table(by_token.unionByName(by_group).select("key", "x", "n", F.col("n").alias("d"), "pos", (percent * F.col("n")).alias("s"), F.lit(0).cast("long").alias("t")))
-    sets, labels, turn = None, None, 0
+    ws.drop(*parts)
+    texts, labels, turn = None, None, 0
     while not rows.isEmpty():
+        done = [rows]
         at = rows.withColumn("c", F.col("x")) if labels is None else rows.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("c", "x"))
         keys = at.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("all"))
         keys = ws.table(keys.where("m > 1 and lo < hi").select("key", "m", "all"))
         at = ws.table(at.join(keys.select("key", "m"), "key"))
+        done += [keys, at]
         big = keys.where(F.col("m") > SMALL)
         # of postings with the same rows one is enough
         classes = ws.table(big.join(big.groupBy("m", "all").agg(F.min("key").alias("rep")), ["m", "all"]).select("key", "m", "rep"))
         few, rows = at.where(F.col("m") <= SMALL), None
         if not classes.isEmpty():
             asked = ws.table(at.select("key", "x").join(classes.where("key = rep").select("key"), "key"))
-            if sets is None:
-                sets = ws.table(_whole_sets(docs, ws.table(asked.select(F.col("x").alias("doc_id")).distinct()), k).select(F.col("doc_id").alias("x"), "set").dropDuplicates(["x"]))
+            if texts is None:
+                texts = ws.table(_packed(docs, ws.table(asked.select(F.col("x").alias("doc_id")).distinct())).select(F.col("doc_id").alias("x"), "packed").dropDuplicates(["x"]))
             lot = F.struct(F.xxhash64(F.lit(turn), F.lit("lot"), "x").alias("o"), "x")
             sample = asked.groupBy("key", F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(SAMPLE)).alias("slot")).agg(F.min(lot)["x"].alias("x"))
-            centres = ws.table(sample.select("key", "x").join(sets, "x").select("key", "set").groupBy("key").applyInArrow(_majority, "key long, centre long, set binary"))
+            centres = ws.table(sample.select("key", "x").join(texts, "x").select("key", "packed").groupBy("key").applyInArrow(_majority(k), "key long, centre long, set binary"))
             of_key = classes.join(centres.select(F.col("key").alias("rep"), "centre"), "rep")
             pairs = asked.join(centres.select("key", "centre"), "key").select("centre", "x").distinct()
-            pairs = pairs.join(centres.groupBy("centre").agg(F.first("set").alias("core")), "centre").join(sets, "x").select("centre", "x", "core", "set")
-            found = ws.table(pairs.mapInArrow(_differences(percent, order, weight), "centre long, x long, n long, d long, s long, t long, least long, tokens array<long>"))
-            nearest = found.groupBy("centre").agg(F.min(F.struct("s", "x")).alias("o")).select("centre", F.col("o.s").alias("s0"), F.col("o.x").alias("x0"))
+            pairs = pairs.join(texts, "x").join(centres.groupBy("centre").agg(F.first("set").alias("core")), "centre").select("centre", "x", "core", "packed")
+            differ = ws.table(pairs.mapInArrow(_differences(k, percent, order, weight), "centre long, x long, n long, d long, s long, t long, least long, tokens array<long>"))
+            nearest = differ.groupBy("centre").agg(F.min(F.struct("s", "x")).alias("o")).select("centre", F.col("o.s").alias("s0"), F.col("o.x").alias("x0"))
             sure = F.col("s") + F.col("s0") <= F.col("t")
             slack = F.when(sure, F.col("s") - F.col("s0") + 1).otherwise(F.col("s") + F.col("s0") - F.col("t"))
             need = F.greatest(F.lit(1).cast("long"), F.col("least"), F.ceil(slack / whole))
-            found = ws.table(found.join(nearest, "centre").select("centre", "x", "n", "d", "s", "t", "x0", sure.alias("sure"), F.slice("tokens", 1, F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")).alias("tokens")))
+            found = ws.table(differ.join(nearest, "centre").select("centre", "x", "n", "d", "s", "t", "x0", sure.alias("sure"), F.slice("tokens", 1, F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")).alias("tokens")))
             links.append(ws.table(found.where("sure and x <> x0").select(F.least("x", "x0").alias("x"), F.greatest("x", "x0").alias("y")).distinct()))
             filled = found.groupBy("centre").agg(F.sum(F.size("tokens")).alias("rows"))
             costs = of_key.groupBy("centre").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs")).join(filled, "centre")
@@ -356,9 +398,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             fresh = found.join(dear, "centre", "left_anti").select("centre", "x", "n", "d", "s", "t", F.posexplode("tokens").alias("pos", "token"))
             fresh = ws.table(fresh.select(F.xxhash64("centre", "token").alias("key"), "x", "n", "d", F.col("pos").cast("long").alias("pos"), "s", "t"))
             rows = ws.table(fresh.join(fresh.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
+            done += [asked, centres, differ, found, fresh]
         other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "d", "pos", "s", "c")])
         fits = F.expr(f"x < x2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {whole} * least(d - pos, d2 - pos2) >= s + s2 - t")
         candidates.append(ws.table(few.join(other, "key").where(fits).select("x", F.col("x2").alias("y")).distinct()))
+        ws.drop(*done, classes)
         if rows is None:
             break
         labels = ws.table(_near_labels(_all(links)))
@@ -369,17 +413,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for end in ("x", "y"):
             pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end, "left")
         pairs = pairs.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-    pairs = ws.table(_within_reach(ws.table(pairs), sketches, percent))
+    if texts is not None:
+        ws.drop(texts)
+    pairs = ws.table(_within_reach(ws.table(pairs), marks, percent))
     ids = ws.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
-    whole_sets = ws.table(_whole_sets(docs, ids, k))
-    one = pairs.join(whole_sets.select(F.col("doc_id").alias("x"), F.col("set").alias("s")), "x")
-    two = one.join(whole_sets.select(F.col("doc_id").alias("y"), F.col("set").alias("s2")), "y")
-    links.append(ws.table(two.select("x", "y", "s", "s2").mapInArrow(_linked(percent), "x long, y long").distinct()))
+    packed = ws.table(_packed(docs, ids))
+    one = pairs.join(packed.select(F.col("doc_id").alias("x"), F.col("packed").alias("p")), "x")
+    two = one.join(packed.select(F.col("doc_id").alias("y"), F.col("packed").alias("q")), "y")
+    links.append(ws.table(two.select("x", "y", "p", "q").mapInArrow(_linked(k, percent), "x long, y long").distinct()))
+    ws.drop(packed)
 
     labels = connected_components(ws, _all(links), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))
     ends = nodes.select("n", "f1", "f2", "node").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
     linked = known.select("doc_id", "n", "f1", "f2").join(ends.select("n", "f1", "f2", "c"), ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
-    alone = sketches.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = marks.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 

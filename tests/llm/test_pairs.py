@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,24 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_leaves_little_behind(spark):
+    """Shuffle files and the tables that no later step reads are gone when the result is there."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    tables = lambda: {f for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("loam-jaccard-*/*")}
+    texts = variants(3, 60, 80, 6) + ["a few words that are copied"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, had = shuffled(), tables()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == by_force(list(enumerate(texts)), 4, 85)
+    kept = {c for f in tables() - had for c in spark.read.parquet(str(f)).columns}
+    assert kept and not kept & {"prefix", "set", "packed", "token", "tokens"}
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(80)]
