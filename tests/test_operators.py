@@ -56,6 +56,23 @@ def test_greedy_is_sequential(spark):
     assert one(retrieval.greedy_keep(ids, pairs, "id").where("kept"), "id") == [(1,), (3,), (4,), (7,)]
 
 
+def test_greedy_leaves_no_shuffles(spark, sf):
+    """What the similarity join and the rounds shuffled is gone when the result is there."""
+    import time
+    from pathlib import Path
+
+    from loam.plans.retrieval import greedy_neardup
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before = shuffled()
+    assert len(greedy_neardup(spark, sf).collect()) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_jaccard_in_lots(spark, monkeypatch):
     """The pairs of brute force, whatever the lots; rows without an id are in none (before: paired as their partner's own id)."""
     for name, value in (("PAIRS", 40), ("WORDS", 500), ("ORDERED", 20)):
