@@ -7,9 +7,10 @@ prefix form one *group*; the join runs on groups:
 
 1. postings ``(shingle, group, size, position)`` for the shingles that several groups' prefixes hold;
 2. group pairs that share a posting pass the size filter and the pair's own prefix lengths;
-3. surviving group pairs are expanded to their members. Each set has ``PARITY`` bits that say whether an
-   odd number of its shingles hashes there: sets differ by as many shingles at least as bits. Pairs for
-   which that leaves the threshold within reach are compared exactly, by their whole sets.
+3. surviving group pairs are expanded to their members. Each set has bits, as many as shingles, that say
+   whether an odd number of its shingles hashes there: sets differ by as many shingles at least as bits. Pairs
+   for which that leaves the threshold within reach are compared exactly, by their whole sets. Both are done
+   in lots, so that what a test shuffles stays in proportion to the table, whatever the number of pairs.
 
 Pairs of postings of at most ``SHORT`` nodes are formed so. In longer ones, and within groups, the
 pairs would grow with the square of a cluster. They are *recentred* instead. The centre L of a posting is the
@@ -23,7 +24,8 @@ With ``s(x) = (1 + t) |Rx| + t |x|`` (times 100, in whole numbers) x and y link
 ``(s(x) + s(y)) / (1 + t) - |L|`` shingles. So everything near enough to the set of least s links with
 it, and all other links lie between sets that share a shingle of the prefixes of their *differences*:
 new, shorter postings, worked off alike. (The first postings are those of an empty centre.) Postings of
-at most ``SMALL`` rows, or whose differences would fill more rows than they have pairs, are enumerated.
+at most ``SMALL`` rows, or whose differences would fill more rows than they have pairs, are enumerated; where sizes
+alone show that (a centre that is small beside its sets), no text travels for it.
 Nothing is capped; any centre and any order give the same links.
 
 The order of shingles is (weight, hash). Weights are counts of shingles that are frequent within a
@@ -56,8 +58,11 @@ STRETCH, LOCAL = 2_000_000, 3
 _SALT = np.uint64(0x632BE59BD9B4E019)
 #: Bits of the largest bitmap that spares texts a shuffle (8 MB), and its bits for each id.
 BITS, SPREAD = 1 << 26, 32
-#: Bits of a set's parities.
+#: Bits of a set's parities at least; larger sets have as many as shingles, to the next power of two.
 PARITY = 1024
+#: Candidate pairs, and shingles of pairs, that are tested at once, and rows that are recentred at once, at least; larger
+#: tables take as many pairs as documents, half their shingles, and a quarter of their documents.
+LOT, SHINGLES, CENTRED = 300_000, 60_000_000, 50_000
 #: Nodes of a posting whose group pairs are formed at once, and rows of one that isn't recentred.
 SHORT, SMALL = 8, 32
 #: Sets whose majority is a centre.
@@ -121,7 +126,8 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
             sizes, one, two, h1, h2, prefixes, odd, at = [], [], [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
-                odd.append(np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(bool)))
+                bits = max(PARITY, 1 << max(0, len(s) - 1).bit_length())
+                odd.append(np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(bool)))
                 one.append(s.sum(dtype=np.uint64))
                 two.append(mix(s + _SALT).sum(dtype=np.uint64))
                 prefixes.append(prefix(s) if len(s) else s)
@@ -135,7 +141,7 @@ def _sketch(k: int, percent: int, order: np.ndarray, weight: np.ndarray):
                     pa.array(np.array(sizes, np.int64)),
                     *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two, h1, h2)],
                     pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate([np.zeros(0, np.uint8), *odd]).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(o) // 8 for o in odd)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint8), *odd]).view(np.int64))),
                 ],
                 names=["doc_id", "n", "f1", "f2", "h1", "h2", "prefix", "odd"],
             )
@@ -305,13 +311,25 @@ def _group_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataF
     return pairs.join(left, "g").join(right, "h").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
+def _folded(bits: str, to: str) -> str:
+    """The parities ``bits`` as they would be with as many bits as ``to``, which has no more; both are powers of two."""
+    return f"if(size({bits}) = size({to}), {bits}, transform(sequence(0, size({to}) - 1), i -> aggregate(sequence(i, size({bits}) - 1, size({to})), 0L, (acc, j) -> acc ^ {bits}[j])))"
+
+
 def _within_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sizes and parities leave the threshold within reach."""
+    """The pairs (x, y), with sizes n and n2, that sizes and parities leave within reach of the threshold."""
     odd = sketches.select("doc_id", "n", "odd")
     one = pairs.join(odd.select(F.col("doc_id").alias("x"), "n", "odd"), "x")
     two = one.join(odd.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("odd").alias("odd2")), "y")
-    differ = F.aggregate(F.zip_with("odd", "odd2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda sum_, bits: sum_ + bits)
-    return two.where((100 + percent) * (F.col("n") + F.col("n2") - differ) >= 2 * percent * (F.col("n") + F.col("n2"))).select("x", "y").distinct()
+    same = F.expr(f"if(size(odd) > size(odd2), struct({_folded('odd', 'odd2')} as a, odd2 as b), struct(odd as a, {_folded('odd2', 'odd')} as b))")
+    differ = F.aggregate(F.zip_with(same["a"], same["b"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda sum_, bits: sum_ + bits)
+    sizes = F.col("n") + F.col("n2")
+    return two.where((100 + percent) * (sizes - differ) >= 2 * percent * sizes).groupBy("x", "y").agg(F.max("n").alias("n"), F.max("n2").alias("n2"))
+
+
+def _in_lots(ws: Workspace, rows: DataFrame, keys: list[str], lots: int, step) -> list[DataFrame]:
+    """``step`` of each lot of rows, by their keys, written one after the other; rows of one key stay together."""
+    return [ws.table(step(rows.where(F.pmod(F.xxhash64(*keys), F.lit(lots)) == i) if lots > 1 else rows)) for i in range(lots)]
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -341,6 +359,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     marks = ws.table(sketches.select("doc_id", "n", "f1", "f2", "odd"))
     ws.drop(sketches)
     known = marks.where("n > 0 and doc_id is not null")
+    n_docs, n_shingles = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     spread = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     # one number, to shuffle less: groups in the high half, nodes in the low one
     parts = []
@@ -381,24 +400,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             lot = F.struct(F.xxhash64(F.lit(turn), F.lit("lot"), "x").alias("o"), "x")
             sample = asked.groupBy("key", F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(SAMPLE)).alias("slot")).agg(F.min(lot)["x"].alias("x"))
             centres = ws.table(sample.select("key", "x").join(texts, "x").select("key", "packed").groupBy("key").applyInArrow(_majority(k), "key long, centre long, set binary"))
-            of_key = classes.join(centres.select(F.col("key").alias("rep"), "centre"), "rep")
-            pairs = asked.join(centres.select("key", "centre"), "key").select("centre", "x").distinct()
-            pairs = pairs.join(texts, "x").join(centres.groupBy("centre").agg(F.first("set").alias("core")), "centre").select("centre", "x", "core", "packed")
-            differ = ws.table(pairs.mapInArrow(_differences(k, percent, order, weight), "centre long, x long, n long, d long, s long, t long, least long, tokens array<long>"))
+            of_key = ws.table(classes.join(centres.select(F.col("key").alias("rep"), "centre"), "rep"))
+            of_centre = ws.table(asked.join(centres.select("key", "centre"), "key").select("centre", "x").distinct())
+            cores = centres.groupBy("centre").agg(F.first("set").alias("core"))
+            costs = of_key.groupBy("centre").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs"))
+            # a set of n has at least so many shingles of its difference from a centre of size in the new postings
+            least = F.expr(f"greatest(0, least(n - size, n - cast(ceil({percent} * n / 100.0D) as long)))")
+            sized = of_centre.join(at.groupBy("x").agg(F.max("n").alias("n")), "x").join(cores.select("centre", (F.length("core") / 8).cast("long").alias("size")), "centre")
+            poor = ws.table(sized.groupBy("centre").agg(F.sum(least).alias("rows")).join(costs, "centre").where("rows >= 2 * pairs").select("centre"))
+            few = few.unionByName(at.join(of_key.join(poor, "centre").select("key"), "key", "left_semi"))
+            pairs = ws.table(of_centre.join(poor, "centre", "left_anti"))
+            moved = lambda lot: lot.join(texts, "x").join(cores, "centre").select("centre", "x", "core", "packed").mapInArrow(_differences(k, percent, order, weight), "centre long, x long, n long, d long, s long, t long, least long, tokens array<long>")  # noqa: B023, E731
+            differing = _in_lots(ws, pairs, ["centre", "x"], max(1, -(-pairs.count() // max(CENTRED, n_docs // 4))), moved)
+            differ = _all(differing)
             nearest = differ.groupBy("centre").agg(F.min(F.struct("s", "x")).alias("o")).select("centre", F.col("o.s").alias("s0"), F.col("o.x").alias("x0"))
             sure = F.col("s") + F.col("s0") <= F.col("t")
             slack = F.when(sure, F.col("s") - F.col("s0") + 1).otherwise(F.col("s") + F.col("s0") - F.col("t"))
             need = F.greatest(F.lit(1).cast("long"), F.col("least"), F.ceil(slack / whole))
             found = ws.table(differ.join(nearest, "centre").select("centre", "x", "n", "d", "s", "t", "x0", sure.alias("sure"), F.slice("tokens", 1, F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")).alias("tokens")))
+            ws.drop(*differing)
             links.append(ws.table(found.where("sure and x <> x0").select(F.least("x", "x0").alias("x"), F.greatest("x", "x0").alias("y")).distinct()))
             filled = found.groupBy("centre").agg(F.sum(F.size("tokens")).alias("rows"))
-            costs = of_key.groupBy("centre").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("pairs")).join(filled, "centre")
-            dear = costs.where("rows >= pairs").select("centre")
+            dear = costs.join(filled, "centre").where("rows >= pairs").select("centre")
             few = few.unionByName(at.join(of_key.join(dear, "centre").select("key"), "key", "left_semi"))
             fresh = found.join(dear, "centre", "left_anti").select("centre", "x", "n", "d", "s", "t", F.posexplode("tokens").alias("pos", "token"))
             fresh = ws.table(fresh.select(F.xxhash64("centre", "token").alias("key"), "x", "n", "d", F.col("pos").cast("long").alias("pos"), "s", "t"))
             rows = ws.table(fresh.join(fresh.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
-            done += [asked, centres, differ, found, fresh]
+            done += [asked, centres, of_key, of_centre, poor, pairs, found, fresh]
         other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "d", "pos", "s", "c")])
         fits = F.expr(f"x < x2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {whole} * least(d - pos, d2 - pos2) >= s + s2 - t")
         candidates.append(ws.table(few.join(other, "key").where(fits).select("x", F.col("x2").alias("y")).distinct()))
@@ -415,12 +443,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         pairs = pairs.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
     if texts is not None:
         ws.drop(texts)
-    pairs = ws.table(_within_reach(ws.table(pairs), marks, percent))
+    pairs = ws.table(pairs)
+    pairs = _all(_in_lots(ws, pairs, ["x", "y"], max(1, -(-pairs.count() // max(LOT, n_docs))), lambda lot: _within_reach(lot, marks, percent)))
     ids = ws.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
     packed = ws.table(_packed(docs, ids))
-    one = pairs.join(packed.select(F.col("doc_id").alias("x"), F.col("packed").alias("p")), "x")
-    two = one.join(packed.select(F.col("doc_id").alias("y"), F.col("packed").alias("q")), "y")
-    links.append(ws.table(two.select("x", "y", "p", "q").mapInArrow(_linked(k, percent), "x long, y long").distinct()))
+    left, right = packed.select(F.col("doc_id").alias("x"), F.col("packed").alias("p")), packed.select(F.col("doc_id").alias("y"), F.col("packed").alias("q"))
+    compare = lambda lot: lot.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(_linked(k, percent), "x long, y long").distinct()
+    total = pairs.agg(F.sum(F.col("n") + F.col("n2"))).first()[0] or 0
+    links += _in_lots(ws, pairs.select("x", "y"), ["x", "y"], max(1, -(-total // max(SHINGLES, n_shingles // 2))), compare)
     ws.drop(packed)
 
     labels = connected_components(ws, _all(links), "x", "y").select(F.col("id").alias("node"), F.col("component").alias("c"))

@@ -116,6 +116,33 @@ def test_groups_of_one_prefix(spark, monkeypatch):
     assert got == by_force(rows, 4, 85)
 
 
+def test_jaccard_in_lots(spark, monkeypatch):
+    """Tests of pairs dealt into many lots find the same links, and parities of sets of unlike sizes are compared."""
+    draw = random.Random(5)
+    rows = []
+    for _ in range(6):
+        base = [str(draw.randrange(400)) for _ in range(draw.choice([40, 1000, 1020]))]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(draw.randrange(6)):
+                copy[draw.randrange(len(copy))] = str(draw.randrange(400))
+            rows.append((len(rows), " ".join(copy + [str(draw.randrange(400)) for _ in range(draw.randrange(40) if len(base) > 40 else 0)])))
+    for name, n in (("LOT", 40), ("SHINGLES", 40_000), ("CENTRED", 30), ("SHORT", 4), ("SMALL", 4)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == by_force(rows, 4, 85)
+
+
+def test_long_texts_that_differ_are_not_compared_whole(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(["one shared run of words", *(str(draw.randrange(10**6)) for _ in range(n))])) for i, n in enumerate([5000, 5200, 4000, 4300])]
+    none = np.zeros(0, np.uint64)
+    schema = "doc_id long, n long, f1 long, f2 long, h1 long, h2 long, prefix array<long>, odd array<long>"
+    sketches = spark.createDataFrame([*rows, (9, rows[0][1] + " and more")], "doc_id long, text string").mapInArrow(jaccard_join._sketch(5, 80, none, none.view(np.int64)), schema)
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (0, 9), (3, 9)], "x long, y long")
+    assert [(r["x"], r["y"]) for r in jaccard_join._within_reach(pairs, sketches, 80).collect()] == [(0, 9)]
+
+
 def test_jaccard_edges(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", "b"), (4, "Short One", None), (5, "short one", "c"), (6, "short  one\n", "c"), (None, "short one", "d"), (7, "long " * 50_000, "e"), (8, "long " * 50_000, "e"), (5, "short one", "c"), (9, "shört one", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumn("n", F.lit(1)).withColumn("token", F.lit("x"))
@@ -165,6 +192,17 @@ def vectors(n=300, d=16, seed=5):
     return base
 
 
+@pytest.mark.parametrize("held", [0, 20, 10_000])
+def test_components_ended_by_the_driver(spark, monkeypatch, held):
+    from loam.llm import components as module
+
+    monkeypatch.setattr(module, "HELD", held)
+    draw = random.Random(8)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)]
+    got = {r["id"]: r["component"] for r in connected_components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == components({v for a, b in edges if a != b for v in (a, b)}, [(a, b) for a, b in edges if a != b])
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 40)  # several chunks a cell
     monkeypatch.setattr(embedding_dedup, "PANEL", 16)
