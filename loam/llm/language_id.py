@@ -20,7 +20,6 @@ frequent n-grams of each length, counted over all labelled texts, with one numbe
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,16 +33,18 @@ from loam.llm.common import Workspace
 WORDS, GRAMS, LONGEST = 50_000, 10_000, 5
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
+#: Characters of words whose n-grams are counted at once.
+CHARS = 1 << 20
 #: Least evidence: held-out texts of sf0.01 and sf0.1 have 0.9 and more, sentences in other languages 0.3 and less.
 EVIDENCE = 0.4
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Every byte of UTF-8, a space for ASCII characters that are no letters.
+_ASCII = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def words(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if not "".join(found).isalpha() and found:  # numerals such as fractions and superscripts, which \w also takes, separate words
-        found = ["".join(c if c.isalpha() else " " for c in w).split() for w in found]
-        found = [w for part in found for w in part]
+    found = text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass").split()
+    if found and not "".join(found).isalpha():  # what is no letter beyond ASCII separates words too
+        found = [w for part in found for w in ((part,) if part.isalpha() else "".join(c if c.isalpha() else " " for c in part).split())]
     return found
 
 
@@ -52,16 +53,13 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _sum_up(counts: Counter, names: list[str]) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys]) for i in range(len(names) - 1)], pa.array([counts[k] for k in keys], pa.int64())], names=names)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_lang: dict[str, Counter] = {}
 
-    def out() -> pa.RecordBatch:
-        return _sum_up(Counter({(lang, w): n for lang, c in by_lang.items() for w, n in c.items()}), ["lang", "word", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, c in by_lang.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+        by_lang.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -70,27 +68,54 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.update(found)
                 c[""] += 1  # the number of texts
                 if sum(map(len, by_lang.values())) > HELD:
-                    yield out()
-                    by_lang.clear()
-    if by_lang:
-        yield out()
+                    yield from out()
+    yield from out()
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for size in range(1, LONGEST + 1):
-                for g in grams(word, size):
-                    counts[lang, size, g] += n
-            if len(counts) > HELD:
-                yield _sum_up(counts, ["lang", "size", "gram", "n"]).cast(_GRAMS)
-                counts.clear()
-    if counts:
-        yield _sum_up(counts, ["lang", "size", "gram", "n"]).cast(_GRAMS)
+def _tally(langs: list[str], found: list[str], n: list[int]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of words, each word with its language and how often it counts: a batch for each length.
+
+    Runs of n characters are numbers, n digits to the base of the distinct characters, whose ranks stand for them
+    where they grow too large; strings are made of distinct ones only.
+    """
+    names = sorted(set(langs))
+    text = "".join([f"<{w}>" for w in found])
+    size = np.array([len(w) + 2 for w in found])
+    digits, digit = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    lang, often = (np.repeat(np.array(x, np.int64), size) for x in ([names.index(x) for x in langs], n))
+    ends = np.cumsum(size)
+    rest = np.repeat(ends, size) - np.arange(len(text))  # characters from here to the word's end
+    key, bound = lang, len(names)
+    for length in range(1, LONGEST + 1):
+        if bound * len(digits) >= 1 << 62:
+            ranks, key = np.unique(key, return_inverse=True)
+            bound = len(ranks)
+        key, bound = key[: len(text) - length + 1] * len(digits) + digit[length - 1 :], bound * len(digits)
+        whole = rest[: len(key)] >= length
+        if length == 1:  # without the marks
+            whole[ends - 1] = whole[ends - size] = False
+        at = np.flatnonzero(whole)
+        at = at[np.argsort(key[at])]
+        first = np.flatnonzero(np.diff(key[at], prepend=-1))
+        if len(first):
+            some = at[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()).take(pa.array(lang[some])), pa.array(np.full(len(some), length, np.int32)), pa.array([text[i : i + length] for i in some.tolist()], pa.string()), pa.array(np.add.reduceat(often[at], first))],
+                names=["lang", "size", "gram", "n"],
+            )
 
 
-_GRAMS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, chars = ([], [], []), 0
+    for batch in batches:
+        for to, column in zip(held, batch.columns, strict=True):
+            to += column.to_pylist()
+        chars += sum(map(len, held[1][-batch.num_rows :]))
+        if chars > CHARS:
+            yield from _tally(*held)
+            held, chars = ([], [], []), 0
+    if held[0]:
+        yield from _tally(*held)
 
 
 class Model:
@@ -99,55 +124,84 @@ class Model:
     def __init__(self, langs: list[str], prior: np.ndarray, known: dict[str, int], table: np.ndarray, tail: list[dict[str, int]], tails: list[np.ndarray]):
         self.langs, self.prior, self.known, self.table, self.tail, self.tails = langs, prior, known, table, tail, tails
 
-    def unseen(self, word: str) -> np.ndarray:
+    def back_off(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of unseen words by language, and whether each holds a known n-gram of the longest length."""
+        scores, resembles = np.zeros((len(found), len(self.langs))), np.zeros(len(found), bool)
+        left = range(len(found))
         for size in range(len(self.tail), 0, -1):
-            known, table = self.tail[size - 1], self.tails[size - 1]
-            if rows := [known[g] for g in grams(word, size) if g in known]:
-                return table[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+            known, at, whose, starts, missed = self.tail[size - 1], [], [], [], []
+            for i in left:
+                if rows := [known[g] for g in grams(found[i], size) if g in known]:
+                    whose.append(i)
+                    starts.append(len(at))
+                    at += rows
+                else:
+                    missed.append(i)
+            if whose:
+                scores[whose] = np.add.reduceat(self.tails[size - 1][at], starts, axis=0) / np.diff([*starts, len(at)])[:, None]
+                resembles[whose] = size == len(self.tail)
+            left = missed
+        return scores, resembles
+
+    def unseen(self, word: str) -> np.ndarray:
+        return self.back_off([word])[0][0]
+
+
+class _Numbers(dict):
+    """Word -> number; a new word gets the next number and is put in a list."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.fresh: list[str] = []
 
-    def resembles(self, word: str) -> bool:
-        """Whether an unseen word holds a known n-gram of the longest length."""
-        return bool(self.tail) and any(g in self.tail[-1] for g in grams(word, len(self.tail)))
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class Scorer:
     """A model in a Python worker, with the scores of words met before."""
 
-    KEPT = 200_000
+    #: Words kept, and texts whose new words are scored at once.
+    KEPT, TOGETHER = 50_000, 64
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.rows = dict(self.model.known)
-        self.table = np.concatenate([self.model.table, np.zeros((4096, len(self.model.langs)))])
+        self.numbers, self.table = _Numbers(self.model.known), self.model.table
         self.backed = np.ones(len(self.table), bool)
-        self.base = self.used = len(self.model.table)
-
-    def row(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table[: max(4096, self.used - self.base)])])
-            self.backed = np.concatenate([self.backed, np.ones(len(self.table) - self.used, bool)])
-        self.table[self.used] = self.model.unseen(word)
-        self.backed[self.used] = self.model.resembles(word)
-        self.rows[word] = at = self.used
-        self.used += 1
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.judge(text)[:2]
-
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        """The language, its posterior probability and the evidence."""
-        found = words(text) if text else []
-        if not found or not self.model.langs:
+        self.used = self.base = len(self.table)
+
+    def _learn(self) -> None:
+        """Put the new words into the table."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        scores, resembles = self.model.back_off(fresh)
+        stop = self.used + len(fresh)
+        if stop > len(self.table):
+            room = max(4096, len(fresh), self.used - self.base)
+            self.table = np.concatenate([self.table[: self.used], np.zeros((room, len(self.model.langs)))])
+            self.backed = np.concatenate([self.backed[: self.used], np.zeros(room, bool)])
+        self.table[self.used : stop], self.backed[self.used : stop] = scores, resembles
+        self.used = stop
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+        """The language of each text, its posterior probability and the evidence."""
+        for i in range(0, len(texts), self.TOGETHER):
+            if self.used - self.base > self.KEPT:
+                self.forget()
+            number = self.numbers.__getitem__
+            held = [np.fromiter(map(number, words(t)), np.int64) if t and self.model.langs else () for t in texts[i : i + self.TOGETHER]]
+            self._learn()
+            yield from map(self._judge, held)
+
+    def _judge(self, at: np.ndarray) -> tuple[str, float, float]:
+        if not len(at):
             return "und", 0.0, 0.0
-        if self.used - self.base > self.KEPT:
-            self.forget()
-        rows = self.rows
-        at = [rows[w] if w in rows else self.row(w) for w in found]
         total = self.model.prior + self.table[at].sum(axis=0)
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(self.backed[at].mean())
@@ -210,8 +264,8 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            got = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            got = list(scorer.judge(batch.column(batch.num_columns - 1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, *_ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     from pyspark.sql import types as T
@@ -240,8 +294,7 @@ def identified(docs: DataFrame, model: Model, wanted: list[str] | None = None, l
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            got = [scorer.judge(t) for t in texts.to_pylist()]
-            yield pa.array([lang in wanted and score >= least and backed >= evidence for lang, score, backed in got], pa.bool_())
+            yield pa.array([lang in wanted and score >= least and backed >= evidence for lang, score, backed in scorer.judge(texts.to_pylist())], pa.bool_())
 
     passes.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.where(F.arrow_udf(passes, "boolean")(F.col("text").cast("string")))

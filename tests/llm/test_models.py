@@ -219,3 +219,34 @@ def test_pipeline_on_an_empty_table(spark, docs):
     for _, stage in pipeline.STAGES:
         at = ws.table(stage(spark, at, ""))
     assert at.count() == 0
+
+
+def test_ngrams_are_counted_as_defined():
+    from collections import Counter
+
+    wide = ["".join(chr(0x4E00 + 97 * i + j) for j in range(12)) for i in range(200)]  # five of so many characters don't fit 62 bits
+    for found in (["a", "the", "them", "été", "𝔘a"], wide * 3):
+        langs, n = [("en", "fr")[i % 2] for i in range(len(found))], list(range(1, len(found) + 1))
+        want: Counter = Counter()
+        for lang, word, times in zip(langs, found, n, strict=True):
+            for size in range(1, L.LONGEST + 1):
+                for g in L.grams(word, size):
+                    want[lang, size, g] += times
+        got = [tuple(r.values()) for batch in L._tally(langs, found, n) for r in batch.to_pylist()]
+        assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+
+
+def test_unseen_words_are_scored_together(monkeypatch):
+    model = L.Model(["a", "b"], np.zeros(2), {"word": 0}, np.array([[-1.0, -2.0]]), [{"z": 0}, {"<z": 0, "zz": 1}], [np.array([[-5.0, -1.0]]), np.array([[-1.0, -5.0], [-3.0, -4.0]])])
+    texts = [*(f"word z{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)), None, "", "1", "word", "q"]
+    asked, back_off = [], L.Model.back_off
+    monkeypatch.setattr(L.Model, "back_off", lambda self, found: asked.append(len(found)) or back_off(self, found))
+    monkeypatch.setattr(L.Scorer, "KEPT", 100)
+    got = list(L.Scorer(model).judge(texts))
+    assert len(got) == len(texts) and sum(asked) == 301 and len(asked) < 10  # not one by one
+    for text, (lang, score, evidence) in zip(texts, got, strict=True):
+        found = L.words(text or "")
+        rows = [model.table[0] if w == "word" else back_off(model, [w])[0][0] for w in found]
+        total = np.sum(rows, axis=0) if found else None
+        assert (lang, score) == (("und", 0.0) if not found else (model.langs[int(total.argmax())], pytest.approx(1 / np.exp(total - total.max()).sum())))
+        assert evidence == (0 if not found else pytest.approx(np.mean([w == "word" or "<z" in f"<{w}" or "zz" in w for w in found])))
