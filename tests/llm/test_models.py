@@ -250,3 +250,16 @@ def test_unseen_words_are_scored_together(monkeypatch):
         total = np.sum(rows, axis=0) if found else None
         assert (lang, score) == (("und", 0.0) if not found else (model.langs[int(total.argmax())], pytest.approx(1 / np.exp(total - total.max()).sum())))
         assert evidence == (0 if not found else pytest.approx(np.mean([w == "word" or "<z" in f"<{w}" or "zz" in w for w in found])))
+
+
+def test_stage_tables_have_no_checksum_files(spark):
+    from pathlib import Path
+
+    ws = Workspace(spark, "plain")
+    back = ws.table(spark.range(100).repartition(3))
+    names = [p.name for p in Path(back._loam_path.removeprefix("file://")).iterdir()]
+    assert sum(n.endswith(".parquet") for n in names) == 3 and not any(n.endswith(".crc") for n in names)
+    assert sorted(r["id"] for r in back.collect()) == list(range(100))
+    assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl") != "org.apache.hadoop.fs.RawLocalFileSystem"  # the session's own files are as before
+    ws.drop(back)
+    assert not Path(back._loam_path.removeprefix("file://")).exists()
