@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Workspace
+from loam.llm.common import Workspace, in_worker
 
 WORDS, GRAMS, LONGEST = 50_000, 10_000, 5
 #: Distinct words that a task counts before it passes them on.
@@ -54,6 +54,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    in_worker("language")
     by_lang: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -292,6 +293,7 @@ def identified(docs: DataFrame, model: Model, wanted: list[str] | None = None, l
     wanted = frozenset(model.langs if wanted is None else wanted)
 
     def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        in_worker("language")
         scorer = Scorer(sent.value)
         for texts in batches:
             yield pa.array([lang in wanted and score >= least and backed >= evidence for lang, score, backed in scorer.judge(texts.to_pylist())], pa.bool_())

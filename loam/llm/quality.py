@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.common import small_batches
+from loam.llm.common import in_worker, small_batches
 
 SAMPLE, SLOTS, KEEP = 20_000, 1 << 12, 0.5
 ROUNDS, STEPS, RATE, DECAY = 100, 400, 2.0, 1e-5
@@ -211,6 +211,7 @@ class Quality:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    in_worker("quality")
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -283,6 +284,7 @@ def clean_only(docs: DataFrame, model: Quality | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
 
     def passes(texts: pa.Array) -> pa.Array:
+        in_worker("quality")
         return pa.array([sent.value.judge(t)[1] >= KEEP for t in texts.to_pylist()], pa.bool_())
 
     return docs.where(F.arrow_udf(passes, "boolean")(F.col("text").cast("string")))

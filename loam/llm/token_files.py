@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Workspace
+from loam.llm.common import Workspace, in_worker
 
 MAGIC = b"LOAM-S8B"
 BLOCK = 4096
@@ -174,8 +174,8 @@ class _Known(dict):
         return number
 
 
-class Encoder:
-    """The library's ids of texts, with the ids of repeated pieces kept.
+class _Pieces:
+    """Texts as pieces whose ids, one after another, are the library's ids of the text.
 
     A byte-level pre-tokenizer starts a token at a single space or newline between non-spaces, so a
     text's ids are those of its pieces: a word with the space before it, or a newline with the word
@@ -185,9 +185,6 @@ class Encoder:
     the library whole. In the table a piece is the word alone, or with the newline before it.
     """
 
-    #: Pieces kept at most, of which the most used half stays when there are more.
-    PIECES = 1_000_000
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -195,12 +192,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        newline, space = ([*self.library.encode(x, add_special_tokens=False).ids] for x in ("\n", " "))
-        self.plain = len(newline) == len(space) == 1
+        self.space, newline = (self.library.encode(x, add_special_tokens=False).ids[:2] for x in (" ", "\n"))
+        self.plain = len(newline) == len(self.space) == 1
         self.newline = newline[0] if newline else -1
-        self.known, self.tails, self.tail_ids = _Known(["", "\n"]), _Known(), []
-        self.starts, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0, 1], [1, 1], [1 << 40, 1 << 40]))
-        self.pool = np.array([*space[:1], *newline[:1]], self.dtype)
 
     def _needs_library(self, text: str) -> bool:
         if any(run in text for run in _RUNS) or text[-2:].isspace() and len(text) > 1:
@@ -208,6 +202,47 @@ class Encoder:
         odd = any(c in text for c in _ODD) if text.isascii() else _ODD_SPACE.search(text)
         return bool(odd) or any(x in text for x in self.special)
 
+    def _ask(self, bare: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts without newlines from the library, with newlines between, and where each begins and ends."""
+        texts = ["\n".join(bare[i : i + TOGETHER]) for i in range(0, len(bare), TOGETHER)]
+        parts = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array([i for part in parts for i in (*part, self.newline)][:-1], np.int64)
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) if bare else np.zeros(0, np.int64)
+        if len(ends) != len(bare):
+            raise AssertionError("a piece held a newline")
+        return ids, np.append(0, ends[:-1] + 1)[: len(ends)], ends
+
+    def _split(self, texts: list[str]) -> tuple[list[int], list[int], list[int], list[str]]:
+        """Texts that go through the library whole; the other ones, the number of pieces of each, and the pieces."""
+        pieces, counts, whose, direct = [], [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.plain or self._needs_library(text):
+                direct.append(i)
+            else:
+                parts = ("\n" + text).replace("\n", " \n").split(" ")
+                pieces += parts[1:]
+                counts.append(len(parts) - 1)
+                whose.append(i)
+        return direct, whose, counts, pieces
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+class Encoder(_Pieces):
+    """The library's ids of texts, with the ids of repeated pieces kept."""
+
+    #: Pieces kept at most, of which the most used half stays when there are more.
+    PIECES = 1_000_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.known, self.tails, self.tail_ids = _Known(["", "\n"]), _Known(), []
+        self.starts, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0, 1], [1, 1], [1 << 40, 1 << 40]))
+        self.pool = np.array([*self.space[:1], max(self.newline, 0)], self.dtype)
+
     def _learn(self) -> None:
         """Put the new pieces into the table."""
         fresh, self.known.fresh = self.known.fresh, []
@@ -252,16 +287,6 @@ class Encoder:
             self.starts[made], self.sizes[made] = len(self.pool) + begin, n1 + n2
             self.pool = np.concatenate([self.pool, both])
 
-    def _ask(self, bare: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts without newlines from the library, with newlines between, and where each begins and ends."""
-        texts = ["\n".join(bare[i : i + TOGETHER]) for i in range(0, len(bare), TOGETHER)]
-        parts = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array([i for part in parts for i in (*part, self.newline)][:-1], np.int64)
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) if bare else np.zeros(0, np.int64)
-        if len(ends) != len(bare):
-            raise AssertionError("a piece held a newline")
-        return ids, np.append(0, ends[:-1] + 1)[: len(ends)], ends
-
     def _flat(self, which: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after another."""
         start, size = self.starts[which], self.sizes[which]
@@ -275,21 +300,6 @@ class Encoder:
         self.known = _Known([names[i] for i in best])
         self.pool, self.sizes, self.starts, self.uses = pool, sizes, np.cumsum(sizes) - sizes, self.uses[best] >> 1
 
-    def _split(self, texts: list[str]) -> tuple[list[int], list[int], list[int], list[str]]:
-        """Texts that go through the library whole; the other ones, the number of pieces of each, and the pieces."""
-        pieces, counts, whose, direct = [], [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.plain or self._needs_library(text):
-                direct.append(i)
-            else:
-                parts = ("\n" + text).replace("\n", " \n").split(" ")
-                pieces += parts[1:]
-                counts.append(len(parts) - 1)
-                whose.append(i)
-        return direct, whose, counts, pieces
-
     def _look_up(self, pieces: list[str]) -> np.ndarray:
         """The numbers of pieces, those new to the table learned."""
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
@@ -303,9 +313,6 @@ class Encoder:
         if len(self.known) > self.PIECES:
             self._thin()
 
-    def _whole(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out = [np.zeros(0, self.dtype)] * len(texts)
@@ -321,15 +328,90 @@ class Encoder:
             self._bound()
         return out
 
+
+class _Sizes(dict):
+    """Piece -> number of its ids, from here or an older table; ``~i`` for the i-th new piece, until it is learned."""
+
+    def __init__(self, older: dict[str, int]):
+        super().__init__({"": 1, "\n": 1})
+        self.older, self.fresh = older, []
+
+    def __missing__(self, piece: str) -> int:
+        size = self.older.get(piece)
+        if size is None:
+            size = ~len(self.fresh)
+            self.fresh.append(piece)
+        self[piece] = size
+        return size
+
+
+class Lengths(_Pieces):
+    """How many ids the library gives texts. Only the numbers of pieces' ids are kept, in a bounded table.
+
+    A Python worker keeps the table from task to task, beside another worker's and the executor's heap, so it is small:
+    a piece costs its name and a place in a dict. When the younger half is full it becomes the older one, and
+    pieces not met since then go.
+    """
+
+    #: Pieces kept at most, in both halves; more only where one portion of texts has more.
+    PIECES = 1_000_000
+    #: New pieces given to the library at once, whose encodings are held together.
+    LOT = 64 * TOGETHER
+    #: Characters of text measured at a time.
+    CHARS = 1 << 19
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.known, self.tails = _Sizes({}), {}
+
+    def _learn(self) -> np.ndarray:
+        """Put the new pieces into the table; their sizes."""
+        fresh = self.known.fresh
+        whole, made, stems, tails = [], [], [], []
+        n = len(fresh)
+        for i in range(n):
+            # Letters end a token where punctuation begins, so "word," has the ids of "word" and of ",".
+            stem = fresh[i].rstrip(_ENDING)
+            if len(stem) < len(fresh[i]) and stem.lstrip("\n").isalpha():
+                made.append(i)
+                stems.append(self.known[stem])
+                tails.append(fresh[i][len(stem) :])
+            else:
+                whole.append(i)
+        whole += range(n, len(fresh))  # new stems
+        sizes = np.zeros(len(fresh), np.int64)
+        for at in range(0, len(whole), self.LOT):
+            lot = whole[at : at + self.LOT]
+            _, begins, ends = self._ask([fresh[i][1:] if fresh[i][0] == "\n" else " " + fresh[i] for i in lot])
+            sizes[lot] = ends - begins + [fresh[i][0] == "\n" for i in lot]
+        if made:
+            new = list({t for t in tails if t not in self.tails})
+            self.tails |= zip(new, (len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True)
+            one = np.array(stems)
+            sizes[made] = np.where(one < 0, sizes[np.maximum(~one, 0)], one) + [self.tails[t] for t in tails]
+        self.known.update(zip(fresh, sizes.tolist(), strict=True))
+        self.known.fresh = []
+        return sizes
+
+    def _bound(self) -> None:
+        if len(self.known) > self.PIECES // 2:
+            self.known.older = {}
+            self.known = _Sizes(self.known)
+        if len(self.tails) > self.PIECES // 2:
+            self.tails = {}
+
     def lengths(self, texts: list[str]) -> np.ndarray:
-        """The number of ids of each text; the ids of known pieces aren't put together for it."""
+        """The number of ids of each text."""
         out = np.zeros(len(texts), np.int64)
         direct, whose, counts, pieces = self._split(texts)
         for i in direct:
             out[i] = len(self._whole(texts[i]))
         if whose:
-            which = self._look_up(pieces)
-            out[whose] = np.add.reduceat(self.sizes[which], np.cumsum(counts) - counts) - 1  # without the newline put before the text
+            sizes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            if self.known.fresh:
+                new = sizes < 0
+                sizes[new] = self._learn()[~sizes[new]]
+            out[whose] = np.add.reduceat(sizes, np.cumsum(counts) - counts) - 1  # without the newline put before the text
             self._bound()
         return out
 
@@ -339,6 +421,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def measurer(path: str) -> Lengths:
+    return in_worker(("lengths", path), lambda: Lengths(path))
+
+
 # ---------------------------------------------------------------- files
 
 SCHEMA = "shard int, segment int, ids_before long, n_ids long, doc_ids array<long>, n_tokens array<int>, payload binary"
@@ -346,13 +432,13 @@ SCHEMA = "shard int, segment int, ids_before long, n_ids long, doc_ids array<lon
 CHARS = 1 << 21
 
 
-def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of ``CHARS`` characters at most, or of one text."""
+def _portions(texts: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of so many characters at most, or of one text."""
     lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     at, n = 0, len(lengths)
     while at < n:
         stop, size = at, 0
-        while stop < n and (stop == at or size + lengths[stop] <= CHARS):
+        while stop < n and (stop == at or size + lengths[stop] <= chars):
             size += lengths[stop]
             stop += 1
         yield at, stop
@@ -363,8 +449,8 @@ def size_in_tokens(text: Column, path: str) -> Column:
     """Ids of a text under the tokenizer at ``path``, without an end id, as a long; 0 for null."""
 
     def count(column: pa.Array) -> pa.Array:
-        tokens = encoder(path)
-        parts = [tokens.lengths(column.slice(at, stop - at).to_pylist()) for at, stop in _portions(column)]
+        tokens = measurer(path)
+        parts = [tokens.lengths(column.slice(at, stop - at).to_pylist()) for at, stop in _portions(column, tokens.CHARS)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
     return F.arrow_udf(count, "long")(text.cast("string"))

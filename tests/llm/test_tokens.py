@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loam.llm import token_files as T
+from loam.llm.common import in_worker
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +49,46 @@ def test_ids_are_the_library_s(monkeypatch):
         assert ids.tolist() == e.ids, text
 
 
+def test_lengths_are_the_library_s(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(T.Lengths, "PIECES", 500)
+    monkeypatch.setattr(T.Lengths, "LOT", 300)
+    rng = random.Random(2)
+    texts = ["", " ", "\n", "a ", " a", "a  b", "a\n\nb", "a\n\n\nb", "x\n y", "tail\n\n", "12 <|endoftext|> x", "don't we'll 'x", "日本 語 ！", "a, b. a b! b", "\nnew, new", "long" * 5000]
+    texts += ["".join(rng.choice(" \n\tab'1,é\x1c Z") for _ in range(rng.randrange(14))) for _ in range(4000)]
+    texts += [" ".join(f"w{rng.randrange(10**9):x}" + rng.choice(["", ",", '."']) for _ in range(20)) for _ in range(200)]
+    library, ours = Tokenizer.from_file(PATH), T.Lengths(PATH)
+    for i in range(0, len(texts), 100):
+        lot = texts[i : i + 100]
+        assert ours.lengths(lot).tolist() == [len(e.ids) for e in library.encode_batch(lot, add_special_tokens=False)]
+        assert len(ours.known) <= 250 and len(ours.known.older) < 250 + 2 * 20 * 100
+
+
+def test_measuring_leaves_little_in_workers(spark):
+    """Python workers outlive their tasks: what they keep of measured texts stays beside the next stage's memory."""
+    import re
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    texts = spark.range(0, 6000, 1, 1).select(F.concat_ws(" ", *[F.substring(F.md5((F.col("id") * 64 + i).cast("string")), 1, 9) for i in range(64)]).alias("text"))
+
+    def held(batches):
+        for batch in batches:
+            with open("/proc/self/smaps_rollup") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, re.findall(r"\nPrivate_Dirty:\s+(\d+)", f.read()))) >> 10] * batch.num_rows, pa.int64())], names=["mb"])
+
+    most = lambda: spark.range(0, 8, 1, 1).mapInArrow(held, "mb long").agg(F.max("mb")).first()[0]
+    before = most()
+    assert texts.agg(F.sum(T.size_in_tokens(F.col("text"), PATH))).first()[0] > 64 * 6000
+    assert most() - before < 150
+    in_worker(1, list).append(2)
+    assert in_worker(1, list) == [2]
+    in_worker(2)
+    assert in_worker(1, list) == []
+
+
 def test_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
