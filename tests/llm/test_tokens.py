@@ -89,6 +89,16 @@ def test_measuring_leaves_little_in_workers(spark):
     assert in_worker(1, list) == []
 
 
+def test_other_stages_let_go_of_the_table():
+    from loam.llm import language_id, quality
+
+    for other in (quality._patterns, language_id._count_words):
+        table = T.measurer(PATH)
+        assert T.measurer(PATH) is table
+        assert not list(other(iter(())))
+        assert T.measurer(PATH) is not table
+
+
 def test_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
