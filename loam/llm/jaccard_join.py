@@ -25,7 +25,8 @@ With ``s(x) = (1 + t) |Rx| + t |x|`` (times 100, in whole numbers) x and y link
 it, and all other links lie between sets that share a shingle of the prefixes of their *differences*:
 new, shorter postings, worked off alike. (The first postings are those of an empty centre.) Postings of
 at most ``SMALL`` rows, or whose differences would fill more rows than they have pairs, are enumerated; where sizes
-alone show that (a centre that is small beside its sets), no text travels for it.
+alone show that (a centre that is small beside its sets), no text travels for it. A round is dozens of queries, so the
+rounds end once all long postings together have no more pairs than ``LEFT`` for each document: these are enumerated.
 Nothing is capped; any centre and any order give the same links.
 
 The order of shingles is (weight, hash). Weights are counts of shingles that are frequent within a
@@ -65,6 +66,8 @@ PARITY = 1024
 LOT, SHINGLES, CENTRED = 300_000, 60_000_000, 50_000
 #: Nodes of a posting whose group pairs are formed at once, and rows of one that isn't recentred.
 SHORT, SMALL = 8, 32
+#: Pairs for each document up to which all that is left in long postings is enumerated, which ends the rounds.
+LEFT = 16
 #: Sets whose majority is a centre.
 SAMPLE = 9
 #: Links that a label travels between rounds.
@@ -390,10 +393,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         at = ws.table(at.join(keys.select("key", "m"), "key"))
         done += [keys, at]
         big = keys.where(F.col("m") > SMALL)
-        # of postings with the same rows one is enough
-        classes = ws.table(big.join(big.groupBy("m", "all").agg(F.min("key").alias("rep")), ["m", "all"]).select("key", "m", "rep"))
-        few, rows = at.where(F.col("m") <= SMALL), None
-        if not classes.isEmpty():
+        left = big.agg(F.sum(F.expr("cast(m as decimal(38,0)) * (m - 1) div 2"))).first()[0] or 0
+        few, rows = at.where(F.col("m") <= SMALL) if left > LEFT * n_docs else at, None
+        if left > LEFT * n_docs:
+            # of postings with the same rows one is enough
+            classes = ws.table(big.join(big.groupBy("m", "all").agg(F.min("key").alias("rep")), ["m", "all"]).select("key", "m", "rep"))
+            done.append(classes)
             asked = ws.table(at.select("key", "x").join(classes.where("key = rep").select("key"), "key"))
             if texts is None:
                 texts = ws.table(_packed(docs, ws.table(asked.select(F.col("x").alias("doc_id")).distinct())).select(F.col("doc_id").alias("x"), "packed").dropDuplicates(["x"]))
@@ -430,7 +435,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "d", "pos", "s", "c")])
         fits = F.expr(f"x < x2 and c <> c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {whole} * least(d - pos, d2 - pos2) >= s + s2 - t")
         candidates.append(ws.table(few.join(other, "key").where(fits).select("x", F.col("x2").alias("y")).distinct()))
-        ws.drop(*done, classes)
+        ws.drop(*done)
         if rows is None:
             break
         labels = ws.table(_near_labels(_all(links)))

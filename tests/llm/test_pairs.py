@@ -143,6 +143,19 @@ def test_long_texts_that_differ_are_not_compared_whole(spark):
     assert [(r["x"], r["y"]) for r in jaccard_join._within_reach(pairs, sketches, 80).collect()] == [(0, 9)]
 
 
+@pytest.mark.parametrize("left", [16, 0])
+def test_rounds_end_when_few_pairs_are_left(spark, monkeypatch, left):
+    """A group just over SMALL is enumerated where its pairs are few beside the table, and linked alike where it is recentred."""
+    near = [" ".join(f"w{j}" if j != i else f"x{i}" for j in range(60)) for i in range(36)]
+    rows = list(enumerate([*near, *(" ".join(f"y{i}z{j}" for j in range(6)) for i in range(600))]))
+    rounds, labels = [], jaccard_join._near_labels
+    monkeypatch.setattr(jaccard_join, "LEFT", left)
+    monkeypatch.setattr(jaccard_join, "_near_labels", lambda links: rounds.append(1) or labels(links))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 36 else i for i, _ in rows}
+    assert bool(rounds) == (left == 0)
+
+
 def test_jaccard_edges(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", "b"), (4, "Short One", None), (5, "short one", "c"), (6, "short  one\n", "c"), (None, "short one", "d"), (7, "long " * 50_000, "e"), (8, "long " * 50_000, "e"), (5, "short one", "c"), (9, "shört one", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumn("n", F.lit(1)).withColumn("token", F.lit("x"))
