@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,23 @@ SEGMENT = 1 << 20
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 _COUNTS = np.array([n for n, _ in LAYOUT] + [0, 1], np.int64)
-_MAX = np.uint64((1 << 60) - 1)
 END = 2
 
 
 # ---------------------------------------------------------------- words
 
 
-_TABLE = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
-_STEPS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: Values of a block while it is packed or unpacked, and room for the longest word that begins in it.
+_STRIDE = BLOCK + 60
 
 
-def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits of each value."""
-    return _TABLE[values] if int(values.max()) < len(_TABLE) else np.searchsorted(_STEPS, values, side="right").astype(np.uint8)
+def _in_a_row(fits: np.ndarray, count: int) -> np.ndarray:
+    """Where so many true values in a row begin."""
+    have = 1
+    while have < count:
+        step = min(have, count - have)
+        fits, have = fits[:-step] & fits[step:], have + step
+    return fits
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -65,53 +69,49 @@ def pack_ids(ids: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     if not n:
         return MAGIC + np.array([0, 0, 0], "<u4").tobytes()
-    grid = np.zeros(blocks * BLOCK, np.uint64)
-    grid[:n] = ids
-    ends = np.full(blocks, BLOCK)
-    ends[-1] = n - (blocks - 1) * BLOCK
-    widths = _widths(grid).reshape(blocks, BLOCK)
-    grid = grid.reshape(blocks, BLOCK)
-    # The selector with the most ids whose width all the next ids have.
-    choice = np.full((blocks, BLOCK), ESCAPE, np.int8)
-    most = int(widths.max())
-    passed = np.zeros((blocks, BLOCK + 61), np.int32)
+    grid = np.zeros((blocks, _STRIDE), np.uint64)
+    grid[:-1, :BLOCK] = ids[: (blocks - 1) * BLOCK].reshape(-1, BLOCK)
+    grid[-1, : n - (blocks - 1) * BLOCK] = ids[(blocks - 1) * BLOCK :]
+    grid = grid.ravel()
+    begin = np.arange(blocks) * _STRIDE
+    end = begin + BLOCK
+    end[-1] = begin[-1] + n - (blocks - 1) * BLOCK
+    # The selector with the most ids whose width all the next ids have; beyond the block's end everything fits.
+    most = int(grid.max())
+    small = grid.astype(np.uint16) if most < 1 << 16 else grid
+    choice = np.full(len(grid), ESCAPE, np.int8)
     for s in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[s]
-        if bits >= most:
+        if most < 1 << bits:
             choice[:] = s  # all fit
-            continue
-        half = count // 2
-        if half > 1:  # so many ids in a row hold two neighbours among every half-th
-            narrow = widths[:, ::half] <= bits
-            if not (narrow[:, 1:] & narrow[:, :-1]).any() and not narrow[:, -1].any():
-                continue
-        np.cumsum(widths > bits, axis=1, out=passed[:, 1 : BLOCK + 1])
-        passed[:, BLOCK + 1 :] = passed[:, BLOCK : BLOCK + 1]  # beyond the block's end everything fits
-        choice[passed[:, count : BLOCK + count] == passed[:, :BLOCK]] = s
+        else:
+            fits = _in_a_row(small < small.dtype.type(1 << bits), count)
+            np.copyto(choice[: len(fits)], s, where=fits)
     step = _COUNTS[choice]
-    step[choice == ESCAPE] = 1
-    # All blocks are walked in step, a word of each at a time.
-    place, live, begins = np.zeros(blocks, np.int64), np.arange(blocks), np.zeros(blocks * BLOCK, bool)
-    while len(live):
-        begins[live * BLOCK + place[live]] = True
-        place[live] += step[live, place[live]]
-        live = live[place[live] < ends[live]]
+    after = np.minimum((np.arange(len(grid)) + step).reshape(blocks, _STRIDE), end[:, None]).ravel()
+    # All blocks are walked in step, a word of each at a time; one that has ended stays at its end.
+    place, begins = begin, np.zeros(len(grid), bool)
+    while (place < end).any():
+        for _ in range(16):
+            begins[place] = True
+            place = after[place]
+    begins[end] = False
     first = np.flatnonzero(begins)
-    selector = choice.ravel()[first]
-    flat = np.append(grid.ravel(), np.zeros(60, np.uint64))
-    stop = (first // BLOCK) * BLOCK + ends[first // BLOCK]
+    selector = choice[first]
     escapes = selector == ESCAPE
     where = np.arange(len(first)) + np.cumsum(escapes) - escapes
     words = np.zeros(len(first) + int(escapes.sum()), np.uint64)
     words[where] = selector.astype(np.uint64) << np.uint64(60)
-    words[where[escapes] + 1] = flat[first[escapes]]
+    words[where[escapes] + 1] = grid[first[escapes]]
     for s, (count, bits) in enumerate(LAYOUT):
         rows = np.flatnonzero(selector == s)
         if len(rows):
-            spot = first[rows, None] + np.arange(count)
-            values = np.where(spot < stop[rows, None], flat[np.minimum(spot, len(flat) - 1)], np.uint64(0))
-            words[where[rows]] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
-    offsets = np.append(where[np.searchsorted(first, np.arange(blocks) * BLOCK)], len(words))
+            spot = first[rows]
+            values = grid[spot]
+            for i in range(1, count):
+                values |= grid[spot + i] << np.uint64(i * bits)
+            words[where[rows]] |= values
+    offsets = np.append(where[np.searchsorted(first, begin)], len(words))
     return MAGIC + np.array([n, blocks], "<u4").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
@@ -134,19 +134,16 @@ def unpack_ids(segment: bytes) -> np.ndarray:
     selector = np.where(literal, 14, selector)
     counts = np.array([c for c, _ in LAYOUT] + [1, 0], np.int64)[selector]
     before = np.cumsum(counts) - counts
-    block = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
-    start = block * BLOCK + before - before[offsets[block]]
-    stop = np.minimum((block + 1) * BLOCK, n)
-    out = np.zeros(n, np.uint64)
+    start = before + np.repeat(np.arange(blocks) * _STRIDE - before[offsets[:-1]], np.diff(offsets))
+    out = np.zeros(blocks * _STRIDE, np.uint64)
     out[start[literal]] = words[literal]
     for s, (count, bits) in enumerate(LAYOUT):
         rows = np.flatnonzero(selector == s)
         if len(rows):
-            spot = start[rows, None] + np.arange(count)
-            values = (words[rows, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(bits))) & np.uint64((1 << bits) - 1)
-            good = spot < stop[rows, None]
-            out[spot[good]] = values[good]
-    return out
+            spot, values = start[rows], words[rows]
+            for i in range(count):  # what a block's last word holds beyond its ids falls into the room after the block
+                out[spot + i] = (values >> np.uint64(i * bits)) & np.uint64((1 << bits) - 1)
+    return out.reshape(blocks, _STRIDE)[:, :BLOCK].ravel()[:n]
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -157,23 +154,15 @@ _RUNS = ("  ", "\n\n\n", "\n\n ", "\n \n", " \n\n", " \n ")
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _ENDING = ".,;:!?*$%&#|\"')"
+#: In Arrow's regular expressions: what a text with any of the above holds, letters alone, and letters that such punctuation ends.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_UNEVEN = "|".join([*_RUNS, f"[{_SPACES}]", r"[ \n][ \n]\z"])
+_LETTERS = r"\A\n?\pL+"
+_ENDED = rf"{_LETTERS}[{re.escape(_ENDING)}]+\z"
 #: New pieces given to the library as one text.
 TOGETHER = 256
 
 
-class _Known(dict):
-    """Piece -> number; a new piece gets the next number and is put in a list."""
-
-    def __init__(self, pieces=()):
-        super().__init__((p, i) for i, p in enumerate(pieces))
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.fresh.append(piece)
-        return number
-
-
 class _Pieces:
     """Texts as pieces whose ids, one after another, are the library's ids of the text.
 
@@ -206,7 +195,7 @@ class _Pieces:
         """Ids of texts without newlines from the library, with newlines between, and where each begins and ends."""
         texts = ["\n".join(bare[i : i + TOGETHER]) for i in range(0, len(bare), TOGETHER)]
         parts = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array([i for part in parts for i in (*part, self.newline)][:-1], np.int64)
+        ids = np.fromiter(chain.from_iterable(chain(part, (self.newline,)) for part in parts), np.int64)[:-1]
         ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) if bare else np.zeros(0, np.int64)
         if len(ends) != len(bare):
             raise AssertionError("a piece held a newline")
@@ -232,102 +221,129 @@ class _Pieces:
 
 
 class Encoder(_Pieces):
-    """The library's ids of texts, with the ids of repeated pieces kept."""
+    """The library's ids of texts, with the ids of repeated pieces kept.
+
+    The pieces of many texts are found, told apart and looked up by Arrow. The table holds words without the
+    punctuation after them: letters end a token where punctuation begins, so "word," has the ids of "word" and of ",".
+    """
 
     #: Pieces kept at most, of which the most used half stays when there are more.
-    PIECES = 1_000_000
+    PIECES = 500_000
+    #: Characters of text whose pieces are told apart together.
+    LOT = 1 << 23
+    #: Pieces whose ids are put one after another at a time, or those of one text.
+    ROW = 1 << 18
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known, self.tails, self.tail_ids = _Known(["", "\n"]), _Known(), []
+        self.known, self.tails, self.tail_ids = pa.array(["", "\n"]), {}, []
         self.starts, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0, 1], [1, 1], [1 << 40, 1 << 40]))
         self.pool = np.array([*self.space[:1], max(self.newline, 0)], self.dtype)
 
-    def _learn(self) -> None:
-        """Put the new pieces into the table."""
-        fresh, self.known.fresh = self.known.fresh, []
-        if not fresh:
-            return
-        # Letters end a token where punctuation begins, so "word," has the ids of "word" and of ",".
-        whole, made, stems, tails = [], [], [], []
-        first = len(self.starts)
-        for i, x in enumerate(fresh):
-            stem = x.rstrip(_ENDING)
-            if len(stem) < len(x) and stem.lstrip("\n").isalpha():
-                made.append(first + i)
-                stems.append(self.known[stem])
-                tails.append(self.tails[x[len(stem) :]])
-            else:
-                whole.append(first + i)
-        more, self.known.fresh = self.known.fresh, []
-        whole += range(first + len(fresh), first + len(fresh) + len(more))
-        fresh += more
-        grow = np.zeros(len(fresh), np.int64)
-        self.starts, self.sizes, self.uses = (np.concatenate([x, grow]) for x in (self.starts, self.sizes, self.uses))
-
-        bare = [x[1:] if x[0] == "\n" else " " + x for x in (fresh[i - first] for i in whole)]
-        ids, begins, ends = self._ask(bare)
+    def _learn(self, fresh: pa.Array) -> None:
+        """Put new pieces into the table."""
         # the newline that separates stands before the piece after it, and counts to it where it belongs there
-        after = np.array([fresh[i - first][0] == "\n" for i in whole], np.int64)
+        after = pc.starts_with(fresh, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        bare = pc.replace_substring(pc.binary_join_element_wise(" ", fresh, ""), " \n", "", max_replacements=1)
+        ids, begins, ends = self._ask(bare.to_pylist())
         at = len(self.pool) + 1
         self.pool = np.concatenate([self.pool, np.array([self.newline], self.dtype), ids.astype(self.dtype)])
-        self.starts[whole], self.sizes[whole] = at + begins - after, ends - begins + after
+        self.starts, self.sizes = np.append(self.starts, at + begins - after), np.append(self.sizes, ends - begins + after)
+        self.uses = np.append(self.uses, np.zeros(len(fresh), np.int64))
+        self.known = pa.concat_arrays([self.known, fresh])
 
-        if made:
-            new, self.tails.fresh = self.tails.fresh, []
-            found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(new, add_special_tokens=False)] if new else []
-            self.tail_ids += found
-            one, two = np.array(stems), [self.tail_ids[t] for t in tails]
-            n1, n2 = self.sizes[one], np.array([len(t) for t in two])
-            begin = np.cumsum(n1 + n2) - (n1 + n2)
-            both = np.zeros(int((n1 + n2).sum()), self.dtype)
-            within = lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            both[np.repeat(begin, n1) + within(n1)] = self._flat(one)
-            both[np.repeat(begin + n1, n2) + within(n2)] = np.concatenate(two)
-            self.starts[made], self.sizes[made] = len(self.pool) + begin, n1 + n2
-            self.pool = np.concatenate([self.pool, both])
-
-    def _flat(self, which: np.ndarray) -> np.ndarray:
-        """The ids of pieces, one after another."""
-        start, size = self.starts[which], self.sizes[which]
-        stop = np.cumsum(size)
-        return self.pool[np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+    def _tail(self, tail: str) -> int:
+        if tail not in self.tails:
+            self.tails[tail] = len(self.tail_ids)
+            self.tail_ids.append(np.array(self._whole(tail), self.dtype))
+        return self.tails[tail]
 
     def _thin(self) -> None:
         best = np.sort(np.argsort(-self.uses, kind="stable")[: self.PIECES // 2])
-        names = list(self.known)
-        pool, sizes = self._flat(best), self.sizes[best]
-        self.known = _Known([names[i] for i in best])
+        pool, sizes = _flat(self.pool, self.starts[best], self.sizes[best]), self.sizes[best]
+        self.known = self.known.take(pa.array(best))
         self.pool, self.sizes, self.starts, self.uses = pool, sizes, np.cumsum(sizes) - sizes, self.uses[best] >> 1
-
-    def _look_up(self, pieces: list[str]) -> np.ndarray:
-        """The numbers of pieces, those new to the table learned."""
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        self.uses += np.bincount(which, minlength=len(self.uses))
-        return which
+        self.uses[:2] = 1 << 40  # the library can't be asked for these two, so they stay
 
     def _bound(self) -> None:
         if len(self.tails) > self.PIECES:
-            self.tails, self.tail_ids = _Known(), []
+            self.tails, self.tail_ids = {}, []
         if len(self.known) > self.PIECES:
             self._thin()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def _look_up(self, pieces: pa.Array, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each of different pieces begin and how many they are; new pieces are learned."""
+        ended = pc.match_substring_regex(pieces, _ENDED)
+        stems = pc.if_else(ended, pc.utf8_rtrim(pieces, characters=_ENDING), pieces).dictionary_encode()
+        names = stems.dictionary
+        number = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            self._learn(names.take(pa.array(new)))
+        one = number[stems.indices.to_numpy()]
+        self.uses += np.bincount(one, uses, len(self.uses)).astype(np.int64)
+        starts, sizes = self.starts[one], self.sizes[one]
+        made = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
+        if not len(made):
+            return self.pool, starts, sizes
+        tails = pc.replace_substring_regex(pieces.take(pa.array(made)), _LETTERS, "").dictionary_encode()
+        tail = np.array([self._tail(x) for x in tails.dictionary.to_pylist()])[tails.indices.to_numpy()]
+        ends = np.cumsum([len(x) for x in self.tail_ids])
+        n2 = np.array([len(x) for x in self.tail_ids])[tail]
+        # stem and tail of each in turn, out of the pool with the tails behind it
+        pool, at = np.concatenate([self.pool, *self.tail_ids]), len(self.pool) + (ends[tail] - n2)
+        both = np.stack([starts[made], at], 1).ravel(), np.stack([sizes[made], n2], 1).ravel()
+        sizes[made] += n2
+        starts[made] = len(self.pool) + np.cumsum(sizes[made]) - sizes[made]
+        return np.concatenate([self.pool, _flat(pool, *both)]), starts, sizes
+
+    def _lot(self, texts: pa.Array) -> list[np.ndarray]:
         out = [np.zeros(0, self.dtype)] * len(texts)
-        direct, whose, counts, pieces = self._split(texts)
-        for i in direct:
-            out[i] = np.array(self._whole(texts[i]), self.dtype)
-        if whose:
-            which = self._look_up(pieces)
-            ids = self._flat(which)
-            ends = np.cumsum(self.sizes[which])[np.cumsum(counts) - 1]
-            for i, a, b in zip(whose, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[i] = ids[a + 1 : b]  # without the newline put before the text
-            self._bound()
+        filled = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
+        whole = pc.match_substring_regex(texts, _UNEVEN) if self.plain else filled
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        whole = pc.and_(filled, pc.fill_null(whole, False))
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[i] = np.array(self._whole(texts[i].as_py()), self.dtype)
+        split = np.flatnonzero(pc.and_not(filled, whole).to_numpy(zero_copy_only=False))
+        if not len(split):
+            return out
+        # A text gets a newline put before it, and so begins with an empty piece and that newline.
+        newline, nothing = (pa.scalar(x, texts.type) for x in ("\n", ""))
+        texts = pc.binary_join_element_wise(newline, texts.take(pa.array(split)), nothing)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.cast(pa.string())
+        del lists, texts
+        pool, starts, sizes = self._look_up(pieces, np.bincount(which))
+        at = 0
+        while at < len(split):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + self.ROW, "right")) - 1)
+            some = which[bounds[at] : bounds[stop]]
+            n = sizes[some]
+            ids = _flat(pool, starts[some], n)
+            ends = np.cumsum(n)[bounds[at + 1 : stop + 1] - bounds[at] - 1].tolist()
+            for i, a, b in zip(split[at:stop].tolist(), [0, *ends[:-1]], ends, strict=True):
+                out[i] = ids[a + 2 : b]
+            at = stop
+        self._bound()
         return out
 
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if column.nbytes > 1 << 29:
+            column = column.cast(pa.large_string())  # newlines grow, and offsets of 32 bits end
+        return [ids for at, stop in _portions(column, self.LOT) for ids in self._lot(column.slice(at, stop - at))]
+
+
+def _flat(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of the pool, one after another."""
+    stop = np.cumsum(sizes)
+    return pool[np.repeat(starts - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
 
 class _Sizes(dict):
     """Piece -> number of its ids, from here or an older table; ``~i`` for the i-th new piece, until it is learned."""
@@ -428,11 +444,9 @@ def measurer(path: str) -> Lengths:
 # ---------------------------------------------------------------- files
 
 SCHEMA = "shard int, segment int, ids_before long, n_ids long, doc_ids array<long>, n_tokens array<int>, payload binary"
-#: Characters of text encoded at a time.
-CHARS = 1 << 21
 
 
-def _portions(texts: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, int]]:
+def _portions(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of so many characters at most, or of one text."""
     lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     at, n = 0, len(lengths)
@@ -456,6 +470,22 @@ def size_in_tokens(text: Column, path: str) -> Column:
     return F.arrow_udf(count, "long")(text.cast("string"))
 
 
+def _lots(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[pa.Array]]:
+    """The columns of several batches together, of so many characters and texts at most, or of one text."""
+    held, size = [], 0
+    for batch in batches:
+        for at, stop in _portions(batch.column(1), chars):
+            part = batch.slice(at, stop - at)
+            n = len(part) + (pc.sum(pc.utf8_length(part.column(1))).as_py() or 0)
+            if held and size + n > chars:
+                yield [pa.concat_arrays(x) for x in zip(*(x.columns for x in held), strict=True)]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield [pa.concat_arrays(x) for x in zip(*(x.columns for x in held), strict=True)]
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, shard = encoder(path), TaskContext.get().partitionId()
@@ -470,16 +500,14 @@ def _encode(path: str, end: int):
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for batch in batches:
-            whose, texts = batch.column(0), batch.column(1)
-            for at, stop in _portions(texts):
-                for doc, got in zip(whose.slice(at, stop - at).to_pylist(), tokens.encode(texts.slice(at, stop - at).to_pylist()), strict=True):
-                    docs.append(doc)
-                    sizes.append(len(got) + 1)
-                    ids += [got, last]
-                    held += len(got) + 1
-                    if held >= SEGMENT:
-                        yield flush()
+        for whose, texts in _lots(batches, tokens.LOT):
+            for doc, got in zip(whose.to_pylist(), tokens.encode(texts), strict=True):
+                docs.append(doc)
+                sizes.append(len(got) + 1)
+                ids += [got, last]
+                held += len(got) + 1
+                if held >= SEGMENT:
+                    yield flush()
         if docs:
             yield flush()
 

@@ -49,6 +49,69 @@ def test_ids_are_the_library_s(monkeypatch):
         assert ids.tolist() == e.ids, text
 
 
+def test_lots_of_any_size(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    words = ["né", "the", "x9", "日本", "don't", "#", "", "\n", "\na", "mid,", "end.\"", "<|endoftext|>", "a  b", "\t"]
+    texts = [None, "", *(" ".join(rng.choice(words) + rng.choice(["", "", ",", "***"]) for _ in range(rng.randrange(9))) for _ in range(1500)), None, "long " * 300]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for lot, row in ((1 << 24, 1 << 18), (200, 7), (1, 1)):
+        monkeypatch.setattr(T.Encoder, "LOT", lot)
+        monkeypatch.setattr(T.Encoder, "ROW", row)
+        ours = T.Encoder(PATH)
+        for kind in (pa.string(), pa.large_string()):
+            assert [x.tolist() for x in ours.encode(pa.array(texts, kind))] == want
+    assert ours.encode([]) == []
+    batches = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    for chars in (1, 100, 1 << 20):
+        lots = list(T._lots(iter(batches.slice(at, 90) for at in range(0, len(texts), 90)), chars))
+        assert [x for _, lot in lots for x in lot.to_pylist()] == texts and [x for doc, _ in lots for x in doc.to_pylist()] == list(range(len(texts)))
+        sizes = [[len(x or "") for x in lot.to_pylist()] for _, lot in lots]
+        assert all(sum(x) <= chars or len(x) == 1 for x in sizes)
+        assert chars < 1 << 20 or len(lots) == 1
+
+
+def test_spaces_outlast_the_table_s_thinning(monkeypatch):
+    monkeypatch.setattr(T.Encoder, "PIECES", 20)
+    ours = T.Encoder(PATH)
+    want = [x.tolist() for x in ours.encode(["a ", "\n", " "])]
+    for i in range(60):
+        ours.encode([" ".join(f"w{i}x{j}" for j in range(40))] * 3)
+    assert [x.tolist() for x in ours.encode(["a ", "\n", " "])] == want
+
+
+def test_punctuation_takes_no_place_in_the_table():
+    words = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(300)]
+    ours = T.Encoder(PATH)
+    ours.encode([" ".join(w + end for w in words) for end in ("", ",", ".", "***", ".###", "!!")])
+    assert len(ours.known) < 2 * len(words) + 10  # the word after a space, and after a newline
+
+
+def test_encoding_costs_a_part_of_the_library_s_time(monkeypatch):
+    """CPU time, for texts whose words repeat, of encoding and packing together."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(x) for x in rng.choice(list("etaoinshrdlu"), (20_000, 8))])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, 500), len(words)) - 1]) for _ in range(2000)]
+    library, ratios = Tokenizer.from_file(PATH), []
+    for _ in range(3):
+        ours = T.Encoder(PATH)
+        began = time.process_time()
+        T.pack_ids(np.concatenate(ours.encode(texts)).astype(np.uint64))
+        between = time.process_time()
+        for at in range(0, len(texts), 200):
+            library.encode_batch_fast(texts[at : at + 200], add_special_tokens=False)
+        ratios.append((between - began) / (time.process_time() - between))
+    print(ratios)
+    assert min(ratios) < 0.25
+
+
 def test_lengths_are_the_library_s(monkeypatch):
     from tokenizers import Tokenizer
 
